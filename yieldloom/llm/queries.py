@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from yieldloom.functions.columns import between, canonical
-from yieldloom.llm import clusters, mixing, packing, percentiles, tokens, topn
+from yieldloom.llm import clusters, mixing, packing, percentiles, subjects, tokens, topn
+from yieldloom.session import materialize
 from yieldloom.sources.tables import table
 
 WAFER = ["lot_id", "wafer_id"]
@@ -32,24 +33,19 @@ def _source() -> dict:
     return {"tool_id": canonical("tool_id"), "parameter_name": F.col("parameter_name")}
 
 
-def _sketched(spark: SparkSession, d: str, by_day: bool = False) -> DataFrame:
-    steps = table(spark, d, "process_steps")
-    keys = _source() | ({"day": F.to_date("timestamp")} if by_day else {})
-    states = percentiles.build_sketches(steps, keys, F.col("value"))
-    parts = steps.rdd.getNumPartitions()
-    if by_day:  # one state per source and day, as a daily job would keep it, then all days
-        states = percentiles.merge_sketches(states, list(keys), parts).withColumn("part", F.lit(0))
-        parts = 1
-    return percentiles.merge_sketches(states, list(_source()), parts)
-
-
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return percentiles.percentiles(_sketched(spark, d), list(_source()), PERCENTILES)
+    steps = table(spark, d, "process_steps")
+    states = percentiles.merge_sketches(percentiles.build_sketches(steps, _source(), F.col("value")), list(_source()), steps.rdd.getNumPartitions())
+    return percentiles.percentiles(states, list(_source()), PERCENTILES)
 
 
 def p3_daily(spark: SparkSession, d: str) -> DataFrame:
-    """The same percentiles from the sketches of separate days."""
-    return percentiles.percentiles(_sketched(spark, d, by_day=True), list(_source()), PERCENTILES)
+    """Percentiles of every source on each day, and (day null) those of all days, combined from the days' kept states."""
+    steps, keys = table(spark, d, "process_steps"), {"day": F.to_date("timestamp"), **_source()}
+    states = percentiles.merge_sketches(percentiles.build_sketches(steps, keys, F.col("value")), list(keys), steps.rdd.getNumPartitions())
+    days = materialize(states.withColumn("part", F.lit(0)), "days")
+    total = percentiles.merge_sketches(days, list(_source())).withColumn("day", F.lit(None).cast("date"))
+    return percentiles.percentiles(days.unionByName(total), list(keys), PERCENTILES)
 
 
 def p3_rank_check(spark: SparkSession, d: str) -> DataFrame:
@@ -106,9 +102,39 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p8_mix(spark, d).withColumnRenamed("n_tokens", "size"), weights)
 
 
+def _subjects(spark: SparkSession, d: str, config: subjects.SubjectConfig):
+    labels = table(spark, d, "subject_labels").select(F.col("doc_id").alias("id"), "subject")
+    return subjects.prepare(table(spark, d, "documents"), "doc_id", "text", labels, table(spark, d, "subject_areas"), config)
+
+
+def p9_subjects(spark: SparkSession, d: str) -> DataFrame:
+    """Subjects per document with the number and share of the sentences that treat them."""
+    c = subjects.SubjectConfig()
+    encoded, topics = _subjects(spark, d, c)
+    return subjects.document_subjects(encoded, topics, c).withColumnRenamed("id", "doc_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_subjects(spark, d).select("doc_id", "subject")
+
+
+def p9_topics(spark: SparkSession, d: str) -> DataFrame:
+    """The topics, the subject each was mapped to (null: general) and its top terms, for inspection."""
+    c = subjects.SubjectConfig()
+    _, t = _subjects(spark, d, c)
+    rows = [(i, t.subjects[s] if s >= 0 else None, ", ".join(t.terms[j] for j in (-t.counts[i]).argsort(kind="stable")[:20])) for i, s in enumerate(t.subject_of)]
+    return spark.createDataFrame(rows, "topic int, subject string, top_terms string")
+
+
+def p9_make_up(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus by subject: documents of each subject and treating sentences."""
+    return p9_subjects(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("treating").alias("sentences"))
+
+
 QUERIES = {
-    "p2_found": p2_found, "p2_clusters": p2_clusters, "p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p3_rank_check": p3_rank_check,
+    "p2_found": p2_found, "p2_clusters": p2_clusters, "p3_daily": p3_daily, "p3_percentiles": p3_percentiles, "p3_rank_check": p3_rank_check,
     "p4_found": p4_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p9_found": p9_found, "p9_subjects": p9_subjects, "p9_topics": p9_topics, "p9_make_up": p9_make_up,
 }
 
 _PCT = ", ".join(f"({p})" for p in PERCENTILES)
