@@ -196,15 +196,16 @@ def percentiles(states: DataFrame, keys: Sequence[str], at: Sequence[float], k:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            frames = []
-            for row in pdf.itertuples(index=False):
-                low, high = Compactors.from_bytes(row.low), Compactors.from_bytes(row.high)
+            if not len(pdf):
+                continue
+            values = []
+            for a, b in zip(pdf["low"], pdf["high"]):
+                low, high = Compactors.from_bytes(a), Compactors.from_bytes(b)
                 # The value of rank r from below has rank n + 1 - r from above.
                 above = (low.n + 1 - np.maximum(1, np.ceil(shares * low.n - 1e-9))) / low.n
-                value = np.where(shares <= 0.5, low.quantiles(shares), -high.quantiles(above))
-                frames.append(pd.DataFrame({**{x: getattr(row, x) for x in keys}, "n": row.n, "pct": at, "value": value, "rank_error": rank_error(k)}))
-            if frames:
-                yield pd.concat(frames, ignore_index=True)
+                values.append(np.where(shares <= 0.5, low.quantiles(shares), -high.quantiles(above)))
+            out = pdf[[*keys, "n"]].loc[pdf.index.repeat(len(shares))].reset_index(drop=True)
+            yield out.assign(pct=np.tile(np.array(at, float), len(pdf)), value=np.concatenate(values), rank_error=rank_error(k))
 
     kinds = dict(states.dtypes)
     schema = ", ".join([*[f"`{x}` {kinds[x]}" for x in keys], "n long", "pct double", "value double", "rank_error double"])
