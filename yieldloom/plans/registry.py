@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from yieldloom.plans import general, relational
+from yieldloom.plans import analytics, general, relational
 
-_MODULES = [general, relational]
+_MODULES = [general, relational, analytics]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
-FLAGSHIP = "p1_found"
+FLAGSHIP = "root_causes"
