@@ -273,7 +273,8 @@ def document_subjects(encoded: DataFrame, t: Topics, c: SubjectConfig) -> DataFr
             share = n / np.maximum(1, n.sum(axis=1, keepdims=True))
             rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1, kind="stable")
             i, j = np.nonzero((n > 0) & (share >= c.share - 1e-9) & (rank < c.most))
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[i], "subject": [names[x] for x in j], "treating": n[i, j].astype(np.int64), "share": share[i, j]})
+            if len(i):
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[i], "subject": [names[x] for x in j], "treating": n[i, j].astype(np.int64), "share": share[i, j]})
 
     kind = dict(encoded.dtypes)["id"]
     return encoded.mapInPandas(run, f"id {kind}, subject string, treating long, share double")
