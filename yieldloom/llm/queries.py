@@ -93,7 +93,8 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    t = mixing.mix(_lengths(spark, d, source="source"), table(spark, d, "source_weights"))
+    lengths = materialize(_lengths(spark, d, source="source"), "lengths")  # read twice: range partitioning samples its input
+    t = mixing.mix(lengths, table(spark, d, "source_weights"))
     return t.select("source", F.col("id").alias("doc_id"), F.col("size").alias("n_tokens"), "copy")
 
 
