@@ -105,6 +105,7 @@ def vocabulary(docs: DataFrame, text: str, c: SubjectConfig) -> list[str]:
         yield pd.DataFrame({"term": [*seen, ""], "df": [*seen.values(), n]})
 
     df = docs.select(F.col(text).alias("text")).mapInPandas(count, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    df = materialize(df, "frequencies")  # read twice below
     total = F.broadcast(df.filter("term = ''").select(F.col("df").alias("n")))
     least = F.greatest(F.lit(float(c.min_documents)), F.col("n") * c.min_share)
     kept = df.filter("term <> ''").join(total, F.col("df") >= least)
