@@ -192,7 +192,7 @@ def test_retrieval_order_and_empty_queries(spark):
     q = spark.createDataFrame([("a", "etch chamber pressure"), ("b", ""), ("c", "focus focus"), ("d", "zzz")], "query_id string, text string")
     got = retrieval.hybrid(docs, q)
     assert rows(got.filter("rank = 1"), "query_id", "id") == [("a", 1), ("c", 2)]
-    b = {(r.query_id, r.id): r.bm25 for r in retrieval.bm25(docs, q).collect()}
+    b = {(r.query_id, r.id): r.bm25 for r in retrieval.bm25(retrieval.build_index(docs), q).collect()}
     mean = (7 + 3 + 0 + 2) / 4
     assert abs(b["c", 2] - 2 * math.log(3.5 / 1.5 + 1) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 3 / mean))) < 1e-9
     assert {r.query_id for r in retrieval.grade(got, docs, q).filter("grade = 'relevant'").collect()} >= {"a"}

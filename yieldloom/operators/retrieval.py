@@ -1,7 +1,8 @@
 """Ranked retrieval of documents for a set of queries: BM25, TF-IDF cosine and domain boosts.
 
-The queries are the small side: their terms are broadcast (after a check of their number) and only postings of
-those terms are joined. Document frequencies, lengths and norms are taken over all documents and whole texts.
+Documents are cut into terms once: the postings (id, term, tf) are written to the shared folder, and frequencies,
+lengths and norms are taken from them, over all documents and whole texts. The queries are the small side: their terms are broadcast (if there
+are few, which is counted first) and only postings of those terms are joined.
 
 Documents without tokens are documents but match nothing; queries without tokens have no results. Ties rank by
 document id.
@@ -9,49 +10,69 @@ document id.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from yieldloom.functions import text as fx
+from yieldloom.session import materialize
 
 #: Most query terms that are broadcast; larger query sets are joined by shuffle.
 BROADCAST_TERMS = 100_000
 
 
-def _small(t: DataFrame) -> DataFrame:
-    return F.broadcast(t) if t.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else t
+@dataclass
+class Index:
+    postings: DataFrame  # id, term, tf; pairs of words have a blank in them
+    documents: int
+    mean_length: float  # in words
+
+
+def build_index(docs: DataFrame) -> Index:
+    """docs: id, text."""
+    tf = fx.with_terms(docs, "text", "id").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = materialize(tf, "postings")
+    words = tf.filter("not contains(term, ' ')").agg(F.sum("tf")).first()[0] or 0
+    n = docs.count()
+    return Index(tf, n, words / n if n else 0.0)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """docs: id, text; queries: query_id, text. Returns query_id, id, bm25 for pairs with a common token.
+def _hint(queries: DataFrame):
+    """broadcast() for what has at most as many rows as the queries have terms, if those are few; else nothing."""
+    n = queries.select(F.sum(F.size(fx.tokens(F.col("text"))))).first()[0] or 0
+    return F.broadcast if n <= BROADCAST_TERMS else lambda t: t
+
+
+def bm25(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """queries: query_id, text. Returns query_id, id, bm25 for pairs with a common token.
 
     A token that a query repeats counts as often.
     """
+    small = _hint(queries)
     q = queries.select("query_id", F.explode(fx.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    d = docs.select("id", fx.tokens(F.col("text")).alias("t")).withColumn("len", F.size("t"))
-    stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean_len"))  # one row
-    wanted = _small(q.select("term").distinct())
-    tf = d.select("id", "len", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    words = index.postings.filter("not contains(term, ' ')")
+    lengths = words.groupBy("id").agg(F.sum("tf").alias("len"))
+    tf = words.join(small(q.select("term").distinct()), "term", "left_semi")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    p = tf.join(_small(df), "term").join(F.broadcast(stats)).join(_small(q), "term")
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
+    p = tf.join(small(df), "term").join(lengths, "id").join(small(q), "term")
+    idf = F.log((index.documents - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / index.mean_length))
     return p.groupBy("query_id", "id").agg(F.sum(F.col("qtf") * idf * weight).alias("bm25"))
 
 
-def tfidf(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, id, cosine of sublinear, L2-normalised TF-IDF vectors over words and pairs."""
-    def frequencies(t: DataFrame, key: str) -> DataFrame:
-        return t.select(key, F.explode(fx.terms(fx.tokens(F.col("text")))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-    tf = frequencies(docs, "id")
-    n = docs.agg(F.count(F.lit(1)).alias("n"))  # one row
-    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+def tfidf(index: Index, queries: DataFrame) -> DataFrame:
+    """query_id, id, cosine of sublinear, L2-normalised TF-IDF vectors over words that are no stop words, and pairs."""
+    small = _hint(queries)
+    meant = ~F.col("term").isin(fx.STOP_WORDS)
+    tf = index.postings.filter(meant)
+    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", (F.log((1.0 + index.documents) / (1 + F.col("df"))) + 1).alias("idf"))
     w = (1 + F.log("tf")) * F.col("idf")
-    q = frequencies(queries, "query_id").join(idf, "term").select("query_id", "term", w.alias("qw"))
+    q = fx.with_terms(queries, "text", "query_id").filter(meant).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    q = idf.join(small(q), "term").select("query_id", "term", w.alias("qw"))
     q = q.join(q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") ** 2)).alias("qn")), "query_id").select("query_id", "term", (F.col("qw") / F.col("qn")).alias("qw"))
     d = tf.join(idf, "term").select("id", "term", w.alias("w"))
     norms = d.groupBy("id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
-    dots = d.join(_small(q), "term").groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
+    dots = d.join(small(q), "term").groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
     return dots.join(norms, "id").select("query_id", "id", (F.col("dot") / F.col("norm")).alias("cosine"))
 
 
@@ -60,8 +81,10 @@ def hybrid(docs: DataFrame, queries: DataFrame, top: int = 5, alpha: float = 0.6
 
     The boost is 0.25 where the query names the document's step. bm25 / 20 counts up to 1. Scores of 0 are left out.
     """
-    t = bm25(docs, queries).join(tfidf(docs, queries), ["query_id", "id"], "full")
-    t = t.join(docs.select("id", "step"), "id").join(_small(queries.select("query_id", F.lower("text").alias("q"))), "query_id")
+    small = _hint(queries)
+    index = build_index(docs.select("id", "text"))
+    t = bm25(index, queries).join(tfidf(index, queries), ["query_id", "id"], "full")
+    t = t.join(docs.select("id", "step"), "id").join(small(queries.select("query_id", F.lower("text").alias("q"))), "query_id")
     part = F.least(F.coalesce("bm25", F.lit(0.0)) / 20, F.lit(1.0))
     cos = F.coalesce("cosine", F.lit(0.0))
     boost = F.when(F.coalesce(F.col("step") != "", F.lit(False)) & F.col("q").contains(F.col("step")), 0.25).otherwise(0.0)
@@ -81,7 +104,7 @@ def merge(results: DataFrame, group: str, top: int = 5) -> DataFrame:
 
 def rerank(results: DataFrame, queries: DataFrame, top: int = 3) -> DataFrame:
     """Results again by score, plus 0.3 where the query names the document's step."""
-    q = _small(queries.select("query_id", F.lower("text").alias("q")))
+    q = _hint(queries)(queries.select("query_id", F.lower("text").alias("q")))
     more = F.when(F.coalesce(F.col("q").contains(F.col("step")) & (F.col("step") != ""), F.lit(False)), 0.3).otherwise(0.0)
     t = results.join(q, "query_id").withColumn("score", F.round(F.col("score") + more, 4))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -90,7 +113,7 @@ def rerank(results: DataFrame, queries: DataFrame, top: int = 3) -> DataFrame:
 
 def grade(results: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
     """Each result relevant, partial or irrelevant by score and shared tokens, and the best grade of its query."""
-    q = _small(queries.select("query_id", fx.tokens(F.col("text")).alias("qt")))
+    q = _hint(queries)(queries.select("query_id", fx.tokens(F.col("text")).alias("qt")))
     t = results.join(q, "query_id").join(docs.select("id", fx.tokens(F.col("text")).alias("dt")), "id").withColumn("overlap", fx.overlap(F.col("qt"), F.col("dt")))
     g = F.when((F.col("score") >= 0.4) & (F.col("overlap") >= 0.2), 2).when((F.col("score") >= 0.15) | (F.col("overlap") >= 0.1), 1).otherwise(0)
     t = t.withColumn("g", g).withColumn("all", F.max("g").over(W.partitionBy("query_id")))

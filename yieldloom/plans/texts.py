@@ -47,12 +47,12 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
-    t = retrieval.bm25(_docs(spark, d), _questions(spark, d))
+    t = retrieval.bm25(retrieval.build_index(_docs(spark, d)), _questions(spark, d))
     return t.withColumn("bm25", F.round("bm25", 6))
 
 
 def tfidf_scores(spark: SparkSession, d: str) -> DataFrame:
-    t = retrieval.tfidf(_docs(spark, d), _questions(spark, d))
+    t = retrieval.tfidf(retrieval.build_index(_docs(spark, d)), _questions(spark, d))
     return t.withColumn("cosine", F.round("cosine", 6))
 
 
