@@ -20,8 +20,11 @@ def excursion_scores(steps: DataFrame) -> DataFrame:
 
 
 def leading(scores: DataFrame, top: int = 3, bound: float = 6.0) -> DataFrame:
-    """The top readings of each lot by z (rounded to 2 places), with the softmax of their bounded z and a capped score."""
-    w = W.partitionBy("lot_id").orderBy(F.desc(F.bround("z", 2)), *KEY, "id")
+    """The top readings of each lot by z, with the softmax of their bounded z and a capped score.
+
+    z counts to nine places, so that the order of operations decides no tie.
+    """
+    w = W.partitionBy("lot_id").orderBy(F.desc(F.round("z", 9)), *KEY, "id")
     t = scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
-    e = F.exp(F.least(F.bround("z", 2), F.lit(bound)))
-    return t.withColumn("probability", e / F.sum(e).over(W.partitionBy("lot_id"))).withColumn("score", F.least(F.lit(0.95), 0.35 + 0.15 * F.bround("z", 2)))
+    e = F.exp(F.least("z", F.lit(bound)))
+    return t.withColumn("probability", e / F.sum(e).over(W.partitionBy("lot_id"))).withColumn("score", F.least(F.lit(0.95), 0.35 + 0.15 * F.col("z")))
