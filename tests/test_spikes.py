@@ -21,7 +21,9 @@ def table(values, tool="T1", first=0, step=1):
 def flags(spark, data, partitions=None, **config):
     df = spark.createDataFrame(data, SCHEMA)
     t = spikes.flag_readings(df, "id", F.col("tool"), F.col("par"), "ts", "v", spikes.SpikeConfig(**config), partitions)
-    return {r.id: r.kind for r in t.collect()}
+    got = t.collect()
+    assert len(got) == len({r.id for r in got})
+    return {r.id: r.kind for r in got}
 
 
 def test_spikes_alone_and_in_a_row_stuck_runs_and_impossible_values(spark):

@@ -1 +1,10 @@
-"""Wafer-line yield analytics and data preparation as Spark DataFrame operators."""
+"""Wafer-line yield analytics and data preparation as Spark DataFrame operators.
+
+Functions that run in Python workers are sent by value, so executors need no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -161,16 +161,17 @@ def _stream(c: SpikeConfig):
         frames = []
         lo = h if first else skip  # the first h readings of a source here are an edge
         hi = n - h
-        done = (of >= lo) & (of < hi) & (kind > 0)
+        whole = first and last and n <= 4 * h  # a short run is an edge as a whole
+        done = (of >= lo) & (of < hi) & (kind > 0) & (not whole)
         if done.any():
             frames.append(dict(seam=pid, seq=np.flatnonzero(done) + seq0, id=ids[done], h=hs[done], v=vs[done], kind=kind[done], judged=True))
-        if first and not (last and n <= 4 * h):
+        if first and not whole:
             m = of < 2 * h
             frames.append(dict(seam=pid, seq=np.flatnonzero(m) + seq0, id=ids[m], h=hs[m], v=vs[m], kind=-1, judged=of[m] >= h))
-        if last and not (first and n <= 4 * h):
+        if last and not whole:
             m = of >= n - 2 * h
             frames.append(dict(seam=-1 - pid, seq=np.flatnonzero(m) + seq0, id=ids[m], h=hs[m], v=vs[m], kind=-1, judged=of[m] < n - h))
-        if first and last and n <= 4 * h:  # a short run is an edge as a whole
+        if whole:
             frames.append(dict(seam=pid, seq=np.arange(len(ids)) + seq0, id=ids, h=hs, v=vs, kind=-2, judged=False))
         return [pd.DataFrame(f).assign(tool=key[0], param=key[1], readings=0) for f in frames], new
 

@@ -14,7 +14,7 @@ from yieldloom.sources.tables import table
 
 def lot_excursions(spark: SparkSession, d: str) -> DataFrame:
     t = excursions.leading(excursions.excursion_scores(fab.steps(spark, d)))
-    return t.select("lot_id", "rank", *KEY, "id", F.round("z", 4).alias("z"), F.round("capability", 4).alias("capability"), F.round("probability", 6).alias("probability"), F.round("score", 6).alias("score"))
+    return t.select("lot_id", "rank", *KEY, "id", F.round("z", 6).alias("z"), F.round("capability", 6).alias("capability"), F.round("probability", 6).alias("probability"), F.round("score", 6).alias("score"))
 
 
 def _factors(spark: SparkSession, d: str) -> DataFrame:
@@ -197,7 +197,7 @@ sc AS (
          CASE WHEN spec_max > spec_min THEN least(spec_max - value, value - spec_min) / (3 * ((spec_max - spec_min) / 6)) ELSE 1.5 END AS capability
   FROM steps WHERE value IS NOT NULL AND spec_min IS NOT NULL AND spec_max IS NOT NULL),
 r AS (SELECT *, z0 AS z, CAST(row_number() OVER (PARTITION BY lot_id ORDER BY round(z0, 9) DESC, step, tool_id, parameter, id) AS INTEGER) AS rank FROM sc QUALIFY rank <= 3)
-SELECT lot_id, rank, step, tool_id, parameter, id, round(z, 4) AS z, round(capability, 4) AS capability, round(exp(least(z, 6.0)) / sum(exp(least(z, 6.0))) OVER (PARTITION BY lot_id), 6) AS probability,
+SELECT lot_id, rank, step, tool_id, parameter, id, round(z, 6) AS z, round(capability, 6) AS capability, round(exp(least(z, 6.0)) / sum(exp(least(z, 6.0))) OVER (PARTITION BY lot_id), 6) AS probability,
        round(least(0.95, 0.35 + 0.15 * z), 6) AS score FROM r""",
     "doe_factors": _FACTORS + "SELECT lot_id, tool_id, factor, parameter, round(nominal, 6) AS nominal, round(low, 6) AS low, round(high, 6) AS high FROM fac",
     "doe_runs": _FACTORS + """,
