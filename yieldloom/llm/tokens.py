@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,9 +15,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@functools.cache
 def encoding(path: str = VOCABULARY, pattern: str = PATTERN):
-    """The tokenizer, once per Python worker. Strings of special tokens are ordinary text."""
+    """The tokenizer; a task makes its own. Strings of special tokens are ordinary text."""
     import tiktoken
 
     with open(path, "rb") as lines:
