@@ -93,10 +93,22 @@ def ranker_calibration(spark: SparkSession, d: str) -> DataFrame:
     return t.select("bin", "lots", F.round("predicted", 6).alias("predicted"), F.round("observed", 6).alias("observed"))
 
 
+def signature_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Per signature of the defects: lots, mean yield, lots below 90, and the leading cause that most of them share."""
+    sign = spatial.signatures(fab.defects(spark, d)).select("lot_id", "signature")
+    first = _ranked(spark, d).filter("rank = 1").select("lot_id", F.concat_ws(" ", "tool_id", "parameter").alias("cause"))
+    t = fab.lots(spark, d).join(sign, "lot_id").join(first, "lot_id", "left")
+    causes = t.groupBy("signature", "cause").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("yield_pct").alias("y"), F.count("yield_pct").alias("k"), F.count_if(F.col("yield_pct") < 90).alias("low"))
+    most = F.min(F.when(F.col("cause").isNotNull(), F.struct((-F.col("n")).alias("n"), "cause")))
+    out = causes.groupBy("signature").agg(F.sum("n").alias("lots"), F.round(F.sum("y") / F.sum("k"), 6).alias("mean_yield"), F.sum("low").alias("low_yield"), most.alias("m"))
+    return out.select("signature", "lots", "mean_yield", "low_yield", F.col("m.cause").alias("cause"), (-F.col("m.n")).alias("cause_lots"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         spc_capability, spc_violations, spc_summary, lot_signatures, wafer_signatures, parameter_baselines, root_causes, root_cause_evidence, batch_risk, tool_commonality,
-        lot_commonality, yield_recovery, total_recovery, ranker_accuracy, ranker_calibration,
+        lot_commonality, yield_recovery, total_recovery, ranker_accuracy, ranker_calibration, signature_patterns,
     )
 }
 
@@ -270,6 +282,11 @@ SELECT lot_id, rank, step, tool_id, parameter, round(gap, 6) AS gap, round(attri
     "ranker_accuracy": _HITS + """
 SELECT count(*) AS lots, round(avg(CASE WHEN true_rank = 1 THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(CASE WHEN true_rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS top3,
        round(avg(pow(score - CASE WHEN true_rank = 1 THEN 1.0 ELSE 0.0 END, 2)), 6) AS brier, coalesce(avg(CASE WHEN true_rank = 1 THEN 1.0 ELSE 0.0 END) >= 0.7, false) AS passed FROM hits""",
+    "signature_patterns": _RANKED + """,
+pt AS (SELECT s.signature, l.yield_pct, r.tool_id || ' ' || r.parameter AS cause FROM lots l JOIN sig s USING (lot_id) LEFT JOIN (SELECT * FROM ranked WHERE rank = 1) r USING (lot_id)),
+pc AS (SELECT signature, cause, count(*) AS n FROM pt WHERE cause IS NOT NULL GROUP BY signature, cause QUALIFY row_number() OVER (PARTITION BY signature ORDER BY count(*) DESC, cause) = 1)
+SELECT signature, lots, mean_yield, low_yield, cause, n AS cause_lots FROM (
+  SELECT signature, count(*) AS lots, round(avg(yield_pct), 6) AS mean_yield, count(*) FILTER (WHERE yield_pct < 90) AS low_yield FROM pt GROUP BY signature) LEFT JOIN pc USING (signature)""",
     "ranker_calibration": _HITS + """
 SELECT CAST(least(floor(score * 5), 4) AS INTEGER) AS bin, count(*) AS lots, round(avg(score), 6) AS predicted, round(avg(CASE WHEN true_rank = 1 THEN 1.0 ELSE 0.0 END), 6) AS observed FROM hits GROUP BY ALL""",
 }
