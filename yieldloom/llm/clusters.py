@@ -167,7 +167,7 @@ def cluster_points(
 
 def typical_members(members: DataFrame, space: Sequence[str], count: int = 3) -> DataFrame:
     """One row per cluster: its size, centroid, radius and the ids of the members nearest to the centroid."""
-    d2 = (F.col("x") - F.col("gx")) ** 2 + (F.col("y") - F.col("gy")) ** 2
+    d2 = F.round((F.col("x") - F.col("gx")) ** 2 + (F.col("y") - F.col("gy")) ** 2, 12)  # the order of summing decides no tie
     w = W.partitionBy("group_id").orderBy("d2", "id")
     near = members.withColumn("d2", d2).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= count)
     return near.groupBy("group_id").agg(

@@ -140,7 +140,27 @@ QUERIES = {
 
 _PCT = ", ".join(f"({p})" for p in PERCENTILES)
 
+#: Reachability by steps of at most 0.05; 1e-9 stands for the rounding of a distance of just 0.05.
+_REACH = """
+WITH RECURSIVE pts AS (
+  SELECT id, lot_id, wafer_id, x, y FROM defects WHERE lot_id IS NOT NULL AND wafer_id IS NOT NULL AND x BETWEEN -1 AND 1 AND y BETWEEN -1 AND 1),
+step AS (
+  SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b USING (lot_id, wafer_id)
+  WHERE a.id <> b.id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.05 + 1e-9),
+reach AS (SELECT id, id AS r FROM pts UNION SELECT reach.id, step.b FROM reach JOIN step ON step.a = reach.r),
+grp AS (SELECT id, min(r) AS group_id, count(*) AS size FROM reach GROUP BY id)
+"""
+
 ORACLE = {
+    "p2_found": _REACH + "SELECT group_id, id FROM grp WHERE size >= 6",
+    "p2_clusters": _REACH + """,
+mem AS (SELECT g.group_id, g.size, p.* FROM grp g JOIN pts p USING (id) WHERE g.size >= 6),
+cen AS (SELECT group_id, avg(x) AS cx, avg(y) AS cy, avg(x * x + y * y) AS ss FROM mem GROUP BY group_id),
+near AS (
+  SELECT m.*, cx, cy, ss, row_number() OVER (PARTITION BY group_id ORDER BY round((x - cx) * (x - cx) + (y - cy) * (y - cy), 12), id) AS k FROM mem m JOIN cen USING (group_id))
+SELECT group_id, min(lot_id) AS lot_id, min(wafer_id) AS wafer_id, min(size) AS size, round(min(cx), 6) AS center_x, round(min(cy), 6) AS center_y,
+       round(sqrt(greatest(min(ss) - min(cx) * min(cx) - min(cy) * min(cy), 0)), 6) AS radius, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY k) AS typical
+FROM near WHERE k <= 3 GROUP BY group_id""",
     "p3_rank_check": f"""
 SELECT tool_id, parameter_name, pct, n, TRUE AS within FROM (
   SELECT upper(trim(tool_id)) AS tool_id, parameter_name, count(*) AS n FROM process_steps
