@@ -114,6 +114,21 @@ SELECT upper(trim(s.tool_id)) AS tool_id, count(*) AS pairs, count(CASE WHEN NOT
        round(avg(CASE WHEN NOT isnan(d.r) THEN d.r END), 6) AS mean_radius
 FROM process_steps s JOIN (SELECT upper(trim(lot_id)) AS lot, sqrt(x * x + y * y) AS r FROM defects) d ON d.lot = upper(trim(s.lot_id))
 GROUP BY upper(trim(s.tool_id))""",
+    "p6_found": """
+WITH r AS (
+  SELECT *, upper(trim(tool_id)) AS tool, min(id) OVER (PARTITION BY lot_id, step_name, tool_id, parameter_name, value, spec_min, spec_max, "timestamp") AS original
+  FROM process_steps WHERE tool_id IS NOT NULL AND parameter_name IS NOT NULL AND "timestamp" IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)),
+o AS (
+  SELECT *, row_number() OVER s AS i, value - lag(value) OVER s AS d, count(*) OVER (PARTITION BY tool, parameter_name) AS n FROM r WHERE id = original
+  WINDOW s AS (PARTITION BY tool, parameter_name ORDER BY "timestamp", id)),
+runs AS (SELECT *, sum(CASE WHEN d = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY tool, parameter_name ORDER BY i) AS run FROM o),
+ro AS (SELECT *, count(*) OVER (PARTITION BY tool, parameter_name, run) AS len FROM runs),
+sc AS (SELECT tool, parameter_name, 1.4826 * median(abs(d)) / sqrt(2) AS s FROM ro WHERE len < 3 GROUP BY ALL),
+m AS (
+  SELECT ro.*, s, median(value) OVER (PARTITION BY tool, parameter_name ORDER BY i ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS before,
+         median(value) OVER (PARTITION BY tool, parameter_name ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING) AS after FROM ro JOIN sc USING (tool, parameter_name)),
+c AS (SELECT original FROM m WHERE n >= 20 AND (len >= 8 OR abs(value) > 1e7 OR (coalesce(abs(value - before) > 6.5 * s, true) AND coalesce(abs(value - after) > 6.5 * s, true))))
+SELECT id FROM r WHERE original IN (SELECT original FROM c)""",
     "p5_rolling": _DAYS + """
 SELECT fab_line, strftime(day, '%Y-%m-%d') AS day, n7 AS lots_7, round(coalesce(s7, 0), 4) AS yield_sum_7, round(m7, 6) AS yield_mean_7,
        n30 AS lots_30, round(coalesce(s30, 0), 4) AS yield_sum_30, round(m30, 6) AS yield_mean_30 FROM r""",
