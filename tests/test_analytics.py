@@ -77,6 +77,17 @@ def test_rules_over_chunks_and_on_a_stream_equal_brute_force(spark, tmp_path):
     assert [(r.rule1, r.rule2, r.rule3, r.rule4) for r in got] == want
 
 
+def test_window_rates_on_a_stream_equal_the_batch(spark, tmp_path):
+    s = readings(spark, [None, *range(100)], 10, 80)
+    s.write.parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(s.schema).parquet(str(tmp_path / "in"))
+    q = stream.rates(src, window="20 seconds").writeStream.format("memory").queryName("rates").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = spark.table("rates").agg(F.count(F.lit(1)).alias("windows"), F.sum("readings").alias("n"), F.sum("out_of_spec").alias("out")).first()
+    assert tuple(got) == (6, 101, 10 + 19)
+
+
 def test_shapes_of_generated_wafers(spark):
     w = spark.createDataFrame([(f"L{i}-{s}", "W", s) for s in generate.SHAPES for i in range(8)], "lot_id string, wafer_id string, shape string")
     d = generate.defects(w, 60, seed=5)
