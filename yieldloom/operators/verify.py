@@ -12,10 +12,13 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from yieldloom.functions.columns import between
 from yieldloom.functions.text import CLAIMS
 
 #: Control limits that a sigma claim may always name.
 USUAL_SIGMAS = [1.5, 2.0, 3.0, 6.0]
+#: Width of the cells of score_references; must be less than the least tolerance of a score, 0.05.
+SCORE_CELL = 0.02
 
 
 def claims(texts: DataFrame) -> DataFrame:
@@ -35,6 +38,17 @@ def tolerance() -> Column:
     return F.when(F.col("kind") == "sigma", 0.5).when(F.col("kind") == "cpk", F.greatest(F.lit(0.10), 0.05 * F.col("value"))).otherwise(F.greatest(F.lit(0.05), 0.05 * F.col("value")))
 
 
+def score_references(findings: DataFrame) -> DataFrame:
+    """findings: lot_id, risk_score, probability. lot_id and scores: the numbers from 0 to 1 among both, as references.
+
+    Of each cell, narrower than the tolerance, only the least and the greatest value are kept. A claim is near one of
+    the lot's values exactly when it is near one of those kept, which are some hundred a lot, however many findings it has.
+    """
+    t = findings.select("lot_id", F.explode(F.array("risk_score", "probability")).alias("v")).filter(between("v", 0, 1))
+    t = t.groupBy("lot_id", F.floor(F.col("v") / SCORE_CELL).alias("cell")).agg(F.array(F.min("v"), F.max("v")).alias("v"))
+    return t.groupBy("lot_id").agg(F.array_distinct(F.flatten(F.collect_list("v"))).alias("scores"))
+
+
 def check(found: DataFrame, references: DataFrame) -> DataFrame:
     """references: lot_id, sigmas, cpks, scores (arrays of doubles), tools (upper case). Adds grounded."""
     t = found.join(references, "lot_id", "left")

@@ -77,13 +77,12 @@ def _evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _references(spark: SparkSession, d: str) -> DataFrame:
-    """Per lot: deviations of its last readings, capabilities of its sources, and its tools."""
+    """Per lot: deviations of its last readings, capabilities of its sources, its tools, and the scores of its findings."""
     s = fab.steps(spark, d)
     base = rootcause.baselines(s, fab.lots(spark, d)).withColumn("cpk", spc.cpk(*[F.col(c) for c in ("pop_mean", "pop_sd", "n", "spec_min", "spec_max")]))
     z = batchrisk.fingerprints(s, base).join(base.select(F.concat_ws("|", *KEY).alias("source"), "tool_id", "cpk"), "source")
-    return z.groupBy("lot_id").agg(
-        F.collect_list(F.abs("z")).alias("sigmas"), F.collect_set("cpk").alias("cpks"), F.collect_set("tool_id").alias("tools"), F.first(F.array().cast("array<double>")).alias("scores")
-    )
+    t = z.groupBy("lot_id").agg(F.collect_list(F.abs("z")).alias("sigmas"), F.collect_set("cpk").alias("cpks"), F.collect_set("tool_id").alias("tools"))
+    return t.join(verify.score_references(table(spark, d, "mock_findings")), "lot_id", "full")
 
 
 def _checked(spark: SparkSession, d: str) -> DataFrame:
