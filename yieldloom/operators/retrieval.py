@@ -6,19 +6,26 @@ are few, which is counted first) and only postings of those terms are joined.
 
 Documents without tokens are documents but match nothing; queries without tokens have no results. Ties rank by
 document id.
+
+Boosts: docs may have parameter (string) and signatures (array of strings) beside step. causes are the candidate causes a query
+is about, one a row: query_id, step, tool_id, parameter, spatial_signature. They are summed to one map of counts a query, as
+large as the names in it, not as the causes. Names are compared in one spelling; null and empty ones match nothing.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from yieldloom.functions import text as fx
+from yieldloom.functions.columns import canonical
 from yieldloom.session import materialize
 
 #: Most query terms that are broadcast; larger query sets are joined by shuffle.
 BROADCAST_TERMS = 100_000
+#: How often each field of a document stands in its text.
+FIELD_WEIGHTS = {"title": 3, "step": 3, "parameter": 2, "signatures": 2, "keywords": 2, "procedures": 1, "precedents": 1, "trigger": 1, "id": 1}
 
 
 @dataclass
@@ -76,23 +83,83 @@ def tfidf(index: Index, queries: DataFrame) -> DataFrame:
     return dots.join(norms, "id").select("query_id", "id", (F.col("dot") / F.col("norm")).alias("cosine"))
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, top: int = 5, alpha: float = 0.6) -> DataFrame:
-    """docs: id, text, step; the top documents of each query by alpha * bm25 / 20 + (1 - alpha) * cosine + 0.3 * boost.
+def weighted_text(docs: DataFrame, weights: dict[str, int] = FIELD_WEIGHTS, separator: str = " ") -> Column:
+    """The fields that docs has (strings or arrays of strings) as one text, each as often as its weight says.
+
+    The separator stands between repetitions; an empty one makes one long word of them, which is of no use but for parity.
+    """
+    field = lambda c: F.concat_ws(" ", c if docs.schema[c].dataType.typeName() == "array" else F.col(c).cast("string"))
+    return F.concat_ws(" ", *[F.array_join(F.array_repeat(field(c), n), separator) for c, n in weights.items() if c in docs.columns])
+
+
+def _facts(docs: DataFrame, causes: DataFrame | None = None) -> DataFrame:
+    """id, step, parameter, signatures in lower case, and tools: those of the causes that the text mentions."""
+    none = F.array().cast("array<string>")
+    names = [(F.lower(c) if c in docs.columns else F.lit(None).cast("string")).alias(c) for c in ("step", "parameter")]
+    signatures = F.coalesce(F.array_distinct(F.transform("signatures", lambda s: F.lower(s))), none) if "signatures" in docs.columns else none
+    if causes is None:
+        return docs.select("id", *names, signatures.alias("signatures"), none.alias("tools"))
+    known = causes.select(F.array_remove(F.collect_set(canonical("tool_id")), "").alias("_known"))
+    mentioned = F.transform(F.array(F.upper("text")), lambda u: F.filter("_known", lambda k: F.contains(u, k)))[0]
+    return docs.crossJoin(F.broadcast(known)).select("id", *names, signatures.alias("signatures"), F.coalesce(mentioned, none).alias("tools"))
+
+
+def _asked(queries: DataFrame, causes: DataFrame | None, *more: str) -> DataFrame:
+    """query_id, q (lower case), named: how many causes have a name, by keys like "step:etch"; and columns that queries may have."""
+    optional = [(F.lower(c) if c in queries.columns else F.lit(None).cast("string")).alias(c) for c in more]
+    q = queries.select("query_id", F.lower("text").alias("q"), *optional)
+    if causes is None:
+        return q.withColumn("named", F.lit(None).cast("map<string, bigint>"))
+    kinds = {"step": F.lower("step"), "parameter": F.lower("parameter"), "signature": F.lower("spatial_signature"), "tool": canonical("tool_id")}
+    names = F.array(*[F.concat(F.lit(f"{k}:"), F.nullif(c, F.lit(""))) for k, c in kinds.items()])
+    n = causes.select("query_id", F.explode(names).alias("name")).filter("name is not null").groupBy("query_id", "name").agg(F.count(F.lit(1)).alias("n"))
+    return q.join(n.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "n"))).alias("named")), "query_id", "left")
+
+
+def _in_query(name: Column) -> Column:
+    return F.coalesce((name != "") & F.contains(F.col("q"), name), F.lit(False))
+
+
+def _causes(kind: str, name: Column) -> Column:
+    """How many of the query's causes have that name."""
+    return F.coalesce(F.try_element_at("named", F.concat(F.lit(f"{kind}:"), name)), F.lit(0).cast("long"))
+
 
-    The boost is 0.25 where the query names the document's step. bm25 / 20 counts up to 1. Scores of 0 are left out.
+def _causes_in(kind: str, names: str) -> Column:
+    return F.aggregate(names, F.lit(0).cast("long"), lambda n, x: n + _causes(kind, x))
+
+
+def domain_boost() -> Column:
+    """Over pairs of _facts and _asked: 0.25 for a step that the query names, 0.2 for a parameter, 0.15 for any signature, and for
+    each cause 0.15 for its step, 0.15 for its parameter, 0.1 for its signature and 0.2 for its tool in the text; up to 1."""
+    part = lambda hit, v: F.when(hit, v).otherwise(0.0)
+    named = part(_in_query(F.col("step")), 0.25) + part(_in_query(F.col("parameter")), 0.2) + part(F.exists("signatures", _in_query), 0.15)
+    known = 0.15 * (_causes("step", F.col("step")) + _causes("parameter", F.col("parameter"))) + 0.1 * _causes_in("signature", "signatures") + 0.2 * _causes_in("tool", "tools")
+    return F.least(named + known, F.lit(1.0))
+
+
+def hybrid(docs: DataFrame, queries: DataFrame, top: int = 5, alpha: float = 0.6, causes: DataFrame | None = None) -> DataFrame:
+    """docs: id, text, step; the top documents of each query by alpha * bm25 / 20 + (1 - alpha) * cosine + 0.3 * domain_boost.
+
+    bm25 / 20 counts up to 1. Scores of 0 are left out; a document without a common word can come in by its boost, so
+    boosts are taken over all pairs, each a look at a few names. Where queries have step_filter, only documents of that step count.
     """
     small = _hint(queries)
     index = build_index(docs.select("id", "text"))
-    t = bm25(index, queries).join(tfidf(index, queries), ["query_id", "id"], "full")
-    t = t.join(docs.select("id", "step"), "id").join(small(queries.select("query_id", F.lower("text").alias("q"))), "query_id")
+    asked = _asked(queries, causes, "step_filter").filter(F.size(fx.tokens(F.col("q"))) > 0)
+    boosts = _facts(docs, causes).crossJoin(small(asked)).select("query_id", "id", domain_boost().alias("boost")).filter("boost > 0")
+    t = bm25(index, queries).join(tfidf(index, queries), ["query_id", "id"], "full").join(boosts, ["query_id", "id"], "full").fillna(0.0, ["boost"])
+    shown = [c for c in ("step", "parameter", "signatures") if c in docs.columns]
+    t = t.join(docs.select("id", *shown), "id")
+    if "step_filter" in queries.columns:
+        t = t.join(small(asked.select("query_id", "step_filter")), "query_id").filter(F.col("step_filter").isNull() | (F.lower("step") == F.col("step_filter")))
     part = F.least(F.coalesce("bm25", F.lit(0.0)) / 20, F.lit(1.0))
     cos = F.coalesce("cosine", F.lit(0.0))
-    boost = F.when(F.coalesce(F.col("step") != "", F.lit(False)) & F.col("q").contains(F.col("step")), 0.25).otherwise(0.0)
-    t = t.select("query_id", "id", "step", part.alias("part"), cos.alias("cos"), boost.alias("boost"), (alpha * part + (1 - alpha) * cos + 0.3 * boost).alias("score"))
+    t = t.select("query_id", "id", *shown, part.alias("part"), cos.alias("cos"), "boost", (alpha * part + (1 - alpha) * cos + 0.3 * F.col("boost")).alias("score"))
     w = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     t = t.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") <= top) & (F.col("score") > 0))
     method = F.when(F.col("boost") > 0.3, "domain_boost").when(F.col("part") > F.col("cos"), "bm25").otherwise("tfidf")
-    return t.select("query_id", "rank", "id", "step", "score", method.alias("method"))
+    return t.select("query_id", "rank", "id", *shown, "score", method.alias("method"))
 
 
 def merge(results: DataFrame, group: str, top: int = 5) -> DataFrame:
@@ -102,20 +169,43 @@ def merge(results: DataFrame, group: str, top: int = 5) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
-def rerank(results: DataFrame, queries: DataFrame, top: int = 3) -> DataFrame:
-    """Results again by score, plus 0.3 where the query names the document's step."""
-    q = _hint(queries)(queries.select("query_id", F.lower("text").alias("q")))
-    more = F.when(F.coalesce(F.col("q").contains(F.col("step")) & (F.col("step") != ""), F.lit(False)), 0.3).otherwise(0.0)
-    t = results.join(q, "query_id").withColumn("score", F.round(F.col("score") + more, 4))
+def rerank(results: DataFrame, queries: DataFrame, top: int = 3, causes: DataFrame | None = None) -> DataFrame:
+    """Results (of hybrid, with the columns of docs that boosts use) again by score with more added.
+
+    0.5 where the query names the document's parameter, with _ or blanks, 0.3 its step, 0.2 where the findings are of its step
+    (finding_step of queries, if there), and for each cause 0.25 for its parameter and 0.15 for its signature.
+    """
+    part = lambda hit, v: F.when(F.coalesce(hit, F.lit(False)), v).otherwise(0.0)
+    step, parameter = F.col("_f.step"), F.col("_f.parameter")
+    none = F.array().cast("array<string>")
+    facts = [(F.lower(c) if c in results.columns else F.lit(None).cast("string")).alias(c) for c in ("step", "parameter")]
+    signatures = F.coalesce(F.array_distinct(F.transform("signatures", lambda s: F.lower(s))), none) if "signatures" in results.columns else none
+    t = results.withColumn("_f", F.struct(*facts)).withColumn("_signatures", signatures).join(_hint(queries)(_asked(queries, causes, "finding_step")), "query_id")
+    more = part(_in_query(parameter) | _in_query(F.replace(parameter, F.lit("_"), F.lit(" "))), 0.5) + part(_in_query(step), 0.3) + part((step != "") & (step == F.col("finding_step")), 0.2)
+    more = more + 0.25 * _causes("parameter", parameter) + 0.15 * _causes_in("signature", "_signatures")
+    t = t.withColumn("score", F.round(F.col("score") + more, 4))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return t.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).drop("q")
+    return t.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select(*dict.fromkeys([*results.columns, "rank"]))
+
 
+def grade(results: DataFrame, docs: DataFrame, queries: DataFrame, causes: DataFrame | None = None) -> DataFrame:
+    """Each result relevant, partial or irrelevant by score and shared tokens, the best grade of its query, and used.
 
-def grade(results: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """Each result relevant, partial or irrelevant by score and shared tokens, and the best grade of its query."""
-    q = _hint(queries)(queries.select("query_id", fx.tokens(F.col("text")).alias("qt")))
-    t = results.join(q, "query_id").join(docs.select("id", fx.tokens(F.col("text")).alias("dt")), "id").withColumn("overlap", fx.overlap(F.col("qt"), F.col("dt")))
-    g = F.when((F.col("score") >= 0.4) & (F.col("overlap") >= 0.2), 2).when((F.col("score") >= 0.15) | (F.col("overlap") >= 0.1), 1).otherwise(0)
+    A high score is relevant with enough shared tokens or when step or parameter are those of a cause of the query. Used are the
+    relevant results, or, where a query has none, the partial ones. query_grades has the queries that need a fallback.
+    """
+    small = _hint(queries)
+    q = small(_asked(queries, causes).select("query_id", fx.tokens(F.col("q")).alias("qt"), "named"))
+    t = results.select("query_id", "id", "score").join(q, "query_id").join(docs.select("id", fx.tokens(F.col("text")).alias("dt")), "id").join(_facts(docs), "id")
+    t = t.withColumn("overlap", fx.overlap(F.col("qt"), F.col("dt")))
+    found = (_causes("step", F.col("step")) > 0) | (_causes("parameter", F.col("parameter")) > 0)
+    g = F.when((F.col("score") >= 0.4) & ((F.col("overlap") >= 0.2) | found), 2).when((F.col("score") >= 0.15) | (F.col("overlap") >= 0.1), 1).otherwise(0)
     t = t.withColumn("g", g).withColumn("all", F.max("g").over(W.partitionBy("query_id")))
     name = lambda c: F.element_at(F.array(F.lit("irrelevant"), F.lit("partial"), F.lit("relevant")), F.col(c) + 1)
-    return t.select("query_id", "id", "score", "overlap", name("g").alias("grade"), name("all").alias("query_grade"))
+    return t.select("query_id", "id", "score", "overlap", name("g").alias("grade"), name("all").alias("query_grade"), ((F.col("g") == F.col("all")) & (F.col("g") > 0)).alias("used"))
+
+
+def query_grades(graded: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, query_grade, fallback: every query, those without results too; irrelevant ones fall back on the findings."""
+    t = queries.select("query_id").join(graded.select("query_id", "query_grade").distinct(), "query_id", "left").fillna("irrelevant", ["query_grade"])
+    return t.withColumn("fallback", F.col("query_grade") == "irrelevant")
