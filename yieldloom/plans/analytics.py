@@ -54,7 +54,7 @@ def root_causes(spark: SparkSession, d: str) -> DataFrame:
 
 def root_cause_evidence(spark: SparkSession, d: str) -> DataFrame:
     """The contract as one nested row per lot; the evidence is wording, so there is no SQL."""
-    return rootcause.findings(_ranked(spark, d), None)
+    return rootcause.findings(_ranked(spark, d), batch_risk(spark, d))
 
 
 def batch_risk(spark: SparkSession, d: str) -> DataFrame:
