@@ -8,13 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SHAPES = ["edge-ring", "center-cluster", "scratch", "donut", "random"]
 
-#: Step, tools, and its parameters with nominal value, deviation and limits.
+STEPS = ["litho", "etch", "cvd", "cmp", "implant"]
+#: Step, tools, and parameters with nominal value, deviation and limits, drawn from a rule: three tools and three parameters a step.
 LINE = {
-    "litho": (["LITHO-01", "LITHO-02", "LITHO-03"], [("exposure_energy", 24.5, 0.22, 23.7, 25.3), ("focus_offset", 0.0, 2.2, -7.5, 7.5), ("numerical_aperture", 1.350, 0.003, 1.339, 1.361)]),
-    "etch": (["ETCH-05", "ETCH-06", "ETCH-07"], [("chamber_pressure", 15.0, 0.35, 13.8, 16.2), ("rf_power_forward", 850.0, 6.5, 828.0, 872.0), ("gas_flow_cl2", 120.0, 1.2, 115.8, 124.2)]),
-    "cvd": (["CVD-10", "CVD-11"], [("deposition_temp", 400.0, 1.6, 394.5, 405.5), ("chamber_pressure", 4.0, 0.06, 3.79, 4.21), ("rf_bias", 250.0, 2.8, 240.0, 260.0)]),
-    "cmp": (["CMP-01", "CMP-02"], [("head_downforce", 3.5, 0.05, 3.33, 3.67), ("platen_rpm", 75.0, 0.6, 72.9, 77.1), ("slurry_flow_rate", 180.0, 2.0, 173.0, 187.0)]),
-    "implant": (["IMP-04", "IMP-05"], [("beam_current", 12.0, 0.12, 11.58, 12.42), ("acceleration_energy", 80.0, 0.5, 78.2, 81.8), ("tilt_angle", 7.0, 0.06, 6.79, 7.21)]),
+    step: ([f"{step.upper()}-{j + 1:02d}" for j in range(3)], [(f"{step}_{k}", 10.0 * (i + k + 1), 0.1 * (k + 1), 10.0 * (i + k + 1) - 0.4 * (k + 1), 10.0 * (i + k + 1) + 0.4 * (k + 1)) for k in range(3)])
+    for i, step in enumerate(STEPS)
 }
 
 
@@ -51,7 +49,7 @@ def lots(spark: SparkSession, n: int, drifted_every: int = 4, running_every: int
     return t.select("lot_id", F.lit("PROD-A").alias("product_id"), start.alias("start_time"), F.lit("LINE-01").alias("fab_line"), y.cast("double").alias("final_yield_pct"), status.alias("status"), "drifted")
 
 
-def telemetry(lots_: DataFrame, tool: str = "ETCH-07", parameter: str = "chamber_pressure", shift: float = 5.0, seed: int = 0) -> DataFrame:
+def telemetry(lots_: DataFrame, tool: str = "ETCH-02", parameter: str = "etch_1", shift: float = 5.0, seed: int = 0) -> DataFrame:
     """One reading per lot, step and parameter in the form of process_steps; drifted lots run on the tool, shifted by so many deviations."""
     names = ["k", "step_name", "tools", "parameter_name", "nominal", "sd", "spec_min", "spec_max"]
     spec = [(i, s, tools, *p) for i, (s, (tools, ps)) in enumerate(LINE.items()) for p in ps]

@@ -21,9 +21,7 @@ def test_retrieval_quality(spark):
     assert [tuple(round(x, 4) for x in r) for r in got] == [(0.5, 0.5, round(2 / 7, 4)), (1.0, 1.0, 0.75), (1.0, 1.0, 1.0), (0.0, 1.0, 0.5)]
 
 
-def test_sub_queries_and_phrases(spark):
-    t = spark.createDataFrame([("why", "etch", "ETCH-07", "chamber_pressure", "edge-ring", 0.78, None), ("why", None, None, None, None, None, 0.5), ("x", None, None, None, None, None, None)], "q string, s string, t string, p string, g string, pr double, sc double")
-    got = t.select(answers.sub_queries(*[F.col(c) for c in "qstpg"]).alias("v"), answers.confidence_phrase(F.lit("b"), F.col("pr"), F.col("sc")).alias("c")).collect()
-    assert [len(r.v) for r in got] == [3, 1, 1] and got[0].v[1] == "ETCH-07 chamber_pressure etch maintenance calibration procedure"
-    assert [r.c for r in got] == ["probability 78% (b)", "risk score 0.50, not a probability (b)", "no measure of confidence"]
-    assert t.select(answers.overall_confidence(F.lit(1.0), F.lit(0.5)).alias("x")).first().x == 0.8
+def test_views_of_a_query(spark):
+    t = spark.createDataFrame([("why", "a", "b"), ("why", "why", None), ("x", None, None), (None, None, None)], "q string, a string, b string")
+    got = t.select(answers.sub_queries(F.col("q"), [F.col("a"), F.col("b")], 2).alias("v"), answers.overall_confidence(F.lit(1.0), F.lit(0.5)).alias("x")).collect()
+    assert [list(r.v) for r in got] == [["why", "a"], ["why"], ["x"], []] and got[0].x == 0.8

@@ -1,4 +1,4 @@
-"""Assessments of answers to questions: scope, claims of probability, use of retrieved documents, sub-queries.
+"""Assessments of answers to questions: scope, claims of probability, use of retrieved documents, views of a query.
 
 Inputs are columns of one table of answers; nothing is joined. Null texts count as empty.
 """
@@ -78,18 +78,6 @@ def overall_confidence(grounding: Column, utilization: Column) -> Column:
     return 0.6 * grounding + 0.4 * utilization
 
 
-def sub_queries(query: Column, step: Column, tool: Column, parameter: Column, signature: Column, most: int = 3) -> Column:
-    """The query and, with a cause, its views of equipment, symptom and history; different ones, the first `most`."""
-    plain = F.replace(parameter, F.lit("_"), F.lit(" "))
-    views = [
-        F.concat_ws(" ", tool, parameter, step, F.lit("maintenance calibration procedure")), F.concat_ws(" ", F.lit("yield drop"), signature, F.lit("defects"), step, plain, F.lit("drift")),
-        F.concat_ws(" ", F.lit("earlier incident"), plain, step, F.lit("root cause")),
-    ]
-    return F.slice(F.array_distinct(F.array_compact(F.array(query, *[F.when(tool.isNotNull(), v) for v in views]))), 1, most)
-
-
-def confidence_phrase(basis: Column, probability: Column, score: Column) -> Column:
-    """How sure a finding is, in words, by the one of its two numbers that is there."""
-    return F.when(probability.isNotNull(), F.format_string("probability %.0f%% (%s)", probability * 100, basis)).when(score.isNotNull(), F.format_string("risk score %.2f, not a probability (%s)", score, basis)).otherwise("no measure of confidence")
-
-
+def sub_queries(query: Column, views: Sequence[Column], most: int = 3) -> Column:
+    """The query and its views, as of the caller (null: no such view); different ones, the first `most`."""
+    return F.slice(F.array_distinct(F.array_compact(F.array(query, *views))), 1, most)

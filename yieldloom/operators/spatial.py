@@ -77,5 +77,6 @@ def classify(shapes: DataFrame, c: SpatialConfig = SpatialConfig()) -> DataFrame
 
 
 def signatures(points: DataFrame, by: list[str] | None = None, c: SpatialConfig = SpatialConfig()) -> DataFrame:
-    """points: the grouping columns, x, y without nulls and NaN."""
-    return classify(shape(points, by or ["lot_id"], c), c)
+    """points: the grouping columns, x, y. Rows without a place have no part in a signature; NaN counts as none."""
+    placed = points.filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    return classify(shape(placed, by or ["lot_id"], c), c)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from yieldloom.functions.columns import between
-from yieldloom.functions.text import CLAIMS
+from yieldloom.functions.text import claim_patterns
 
 #: Control limits that a sigma claim may always name.
 USUAL_SIGMAS = [1.5, 2.0, 3.0, 6.0]
@@ -23,7 +23,7 @@ SCORE_CELL = 0.02
 
 def claims(texts: DataFrame) -> DataFrame:
     """texts: id, lot_id, text. One row per claim: id, lot_id, kind, place (order within its kind), word, value."""
-    found = F.concat(*[_found(kind, pattern) for kind, pattern in CLAIMS.items()])
+    found = F.concat(*[_found(kind, pattern) for kind, pattern in claim_patterns().items()])
     t = texts.filter("text is not null").select("id", "lot_id", F.explode(found).alias("c")).select("id", "lot_id", "c.kind", "c.place", "c.word")
     t = t.withColumn("value", F.when(F.col("kind") != "tool", F.col("word").cast("double")))
     return t.filter("kind <> 'risk_score' or value <= 1")

@@ -178,7 +178,7 @@ base AS (
 """
 
 _RANKED = _STATS + _shapes("lot_id") + _BASE + """,
-seen AS (SELECT DISTINCT lot_id, step FROM places WHERE step IS NOT NULL),
+seen AS (SELECT DISTINCT lot_id, step FROM marks WHERE step IS NOT NULL),
 narrowed AS (SELECT * FROM seen UNION ALL SELECT DISTINCT lot_id, step FROM steps WHERE lot_id NOT IN (SELECT lot_id FROM seen)),
 own AS (
   SELECT s.lot_id, step, tool_id, parameter,

@@ -38,7 +38,7 @@ def p1_tool_defects(spark: SparkSession, d: str) -> DataFrame:
     """Per tool, over process_steps joined with defects of the same lot: pairs, mean reading and mean defect radius."""
     t = eager.eager_join_aggregate(
         table(spark, d, "process_steps"), table(spark, d, "defects"), {"lot_id": (canonical("lot_id"), canonical("lot_id"))},
-        by_left={"tool_id": canonical("tool_id")}, left_measures={"value": F.when(F.abs("value") < 1e5, F.col("value"))}, right_measures={"radius": _radius()},
+        by_left={"tool_id": canonical("tool_id")}, left_measures={"value": F.col("value")}, right_measures={"radius": _radius()},
     )
     return t.select(
         "tool_id", F.col("n").alias("pairs"), F.col("c_radius").alias("radii"),
@@ -110,7 +110,7 @@ SELECT field, key_value FROM (SELECT *, sum(rows) OVER (PARTITION BY field) AS t
 WHERE rows >= 0.04 * total AND key_value IS NOT NULL""",
     "p1_tool_defects": """
 SELECT upper(trim(s.tool_id)) AS tool_id, count(*) AS pairs, count(CASE WHEN NOT isnan(d.r) THEN d.r END) AS radii,
-       round(avg(CASE WHEN NOT isnan(s.value) AND abs(s.value) < 1e5 THEN s.value END), 4) AS mean_value,
+       round(avg(CASE WHEN NOT isnan(s.value) THEN s.value END), 4) AS mean_value,
        round(avg(CASE WHEN NOT isnan(d.r) THEN d.r END), 6) AS mean_radius
 FROM process_steps s JOIN (SELECT upper(trim(lot_id)) AS lot, sqrt(x * x + y * y) AS r FROM defects) d ON d.lot = upper(trim(s.lot_id))
 GROUP BY upper(trim(s.tool_id))""",

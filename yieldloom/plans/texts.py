@@ -179,7 +179,7 @@ fp AS (
   FROM (SELECT * FROM steps WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lot_id, step, tool_id, parameter ORDER BY ts DESC, id DESC) = 1)
        JOIN base USING (step, tool_id, parameter)),
 refs AS (SELECT lot_id, list(z) AS sigmas, list(cpk) FILTER (WHERE cpk IS NOT NULL) AS cpks, list(tool_id) AS tools FROM fp GROUP BY lot_id),
-cl AS (SELECT *, CASE WHEN kind <> 'tool' THEN TRY_CAST(word AS DOUBLE) END AS value FROM (""" + " UNION ALL ".join(_found(k, p) for k, p in fx.CLAIMS.items()) + """)),
+cl AS (SELECT *, CASE WHEN kind <> 'tool' THEN TRY_CAST(word AS DOUBLE) END AS value FROM (""" + " UNION ALL ".join(_found(k, p) for k, p in fx.claim_patterns().items()) + """)),
 ck AS (
   SELECT id, kind, CAST(place AS INTEGER) AS place, word,
          CASE WHEN kind = 'tool' THEN coalesce(list_contains(tools, word), true)

@@ -1,12 +1,19 @@
-"""Session settings and the two ways of cutting a lineage."""
+"""Session settings, the shared folder and the one way of cutting a lineage."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The temporary folder of this process, made only for a local master without spark.checkpoint.dir.
+_local: list[str] = []
+#: What materialize() has written and clean() has not yet removed.
+_written: list[str] = []
+
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
@@ -25,25 +32,37 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only a local master, where every task runs on this machine, may fall back to a temporary folder.
+    Only a local master, where every task runs on this machine, may do without: it gets a temporary folder, which
+    is removed when the process ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    named = tempfile.mkdtemp(prefix="yieldloom-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="yieldloom-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return _local[0]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and return the written table.
 
     Whatever reads the result later, also after an executor is lost, reads these files instead of
-    computing df again.
+    computing df again. They stay until clean() is called.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> int:
+    """Remove the intermediate tables this process has written; call it when the results that read them are written."""
+    removed = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return removed

@@ -1,7 +1,7 @@
 """The tables of the wafer line in the form the analytical operators read them.
 
 Names of tools, lines and steps get one spelling; NaN and, for yields and coordinates, impossible values become
-null or are left out, as the table's contract forbids them. Rows sent twice stay two rows.
+null. No row is left out. Rows sent twice stay two rows.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from yieldloom.functions.columns import between, canonical, number
-from yieldloom.sources.tables import table
+from yieldloom.sources.tables import optional_table, table
 
 #: The contract of the tables; CHECK rules are in operators.quality.
 SCHEMAS = {
@@ -21,11 +21,6 @@ SCHEMAS = {
 STEPS = ["litho", "etch", "cvd", "cmp", "implant"]
 
 
-def empty(spark: SparkSession, name: str) -> DataFrame:
-    """A typed table without rows, for a source that may be missing."""
-    return spark.createDataFrame([], SCHEMAS[name])
-
-
 def lots_of(df: DataFrame, threshold: float = 90.0) -> DataFrame:
     """lot_id, product_id, start_time, fab_line, yield_pct (null unless in 0..100), status, cohort.
 
@@ -48,9 +43,10 @@ def steps_of(df: DataFrame) -> DataFrame:
 
 
 def defects_of(df: DataFrame) -> DataFrame:
-    """id, lot_id, wafer_id, defect_type, severity, step, x, y; only defects with a place on the wafer."""
-    return df.filter(between("x", -1, 1) & between("y", -1, 1)).select(
-        "id", "lot_id", "wafer_id", "defect_type", "severity", F.lower(F.trim("detected_at_step")).alias("step"), "x", "y"
+    """id, lot_id, wafer_id, defect_type, severity, step, x, y; a defect without a place on the wafer has neither x nor y."""
+    place = between("x", -1, 1) & between("y", -1, 1)
+    return df.select(
+        "id", "lot_id", "wafer_id", "defect_type", "severity", F.lower(F.trim("detected_at_step")).alias("step"), *[F.when(place, F.col(c)).alias(c) for c in ("x", "y")]
     )
 
 
@@ -67,7 +63,8 @@ def defects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def labels(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "cause_labels")
+    """The labels, or a typed table without rows where there are none."""
+    return optional_table(spark, f"{d}/cause_labels.parquet", SCHEMAS["cause_labels"])
 
 
 #: The same as SQL, for the oracle; each query adds its own steps.
@@ -79,6 +76,6 @@ WITH lots AS (
 steps AS (
   SELECT id, lot_id, lower(trim(step_name)) AS step, upper(trim(tool_id)) AS tool_id, parameter_name AS parameter,
          CASE WHEN NOT isnan(value) THEN value END AS value, spec_min, spec_max, "timestamp" AS ts FROM process_steps),
-places AS (
-  SELECT id, lot_id, wafer_id, defect_type, severity, lower(trim(detected_at_step)) AS step, x, y FROM defects WHERE x BETWEEN -1 AND 1 AND y BETWEEN -1 AND 1)
+marks AS (SELECT id, lot_id, wafer_id, defect_type, severity, lower(trim(detected_at_step)) AS step, x, y FROM defects),
+places AS (SELECT * FROM marks WHERE x BETWEEN -1 AND 1 AND y BETWEEN -1 AND 1)
 """

@@ -1,7 +1,7 @@
-"""Writers: exports, full reloads, appends with ids, upserts, updates and deletes by key.
+"""Writers: exports, versions of a set of tables, appends with ids, upserts, updates and deletes by key.
 
-Parquet has no updates, so changes are rewrites: a function gives the new table as a DataFrame, and reload()
-puts it in the place of the old one by renaming, so readers see the old or the new table.
+Parquet has no updates, so changes are rewrites: a function gives the new table as a DataFrame, and write_version()
+writes it as part of a new version.
 """
 
 from __future__ import annotations
@@ -11,28 +11,18 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from yieldloom.session import materialize
-
-
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+from yieldloom.sources.tables import path_of
 
 
 def first_existing(spark: SparkSession, paths: list[str]) -> str:
     """The first path that exists; none is an error, never a silent fixture."""
     for path in paths:
-        fs, p = _fs(spark, path)
+        fs, p = path_of(spark, path)
         if fs.exists(p):
             return path
     raise FileNotFoundError(f"none of {paths} exists")
 
 
-def optional_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """The table, or a typed empty one if it is missing."""
-    fs, p = _fs(spark, path)
-    return spark.read.parquet(path) if fs.exists(p) else spark.createDataFrame([], ddl)
-
-
 def json_documents(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """Objects of a JSON array, or one object a file; fields that are missing are null."""
     return spark.read.option("multiLine", True).schema(ddl).json(path)
@@ -44,31 +34,32 @@ def export(df: DataFrame, path: str, kind: str) -> None:
     writer.option("header", True).csv(path) if kind == "csv" else writer.json(path)
 
 
-def reload(tables: dict[str, DataFrame], folder: str) -> dict[str, int]:
-    """Write all tables beside the old ones, then swap them in by renaming; rows written per table.
+def write_version(tables: dict[str, DataFrame], folder: str) -> dict[str, int]:
+    """Write all tables into a new folder, then move the pointer to it, one rename; rows written per table.
 
-    If a write fails, no table has changed.
+    Readers take the folder from current(), so they see all tables of one version. If a write fails, the pointer has
+    not moved. Old versions stay until they are deleted.
     """
     spark = next(iter(tables.values())).sparkSession
-    tag = uuid.uuid4().hex
+    version = f"version-{uuid.uuid4().hex}"
     counts = {}
     for name, df in tables.items():
-        df.write.parquet(f"{folder}/_new-{tag}/{name}")
-        counts[name] = spark.read.parquet(f"{folder}/_new-{tag}/{name}").count()
-    for name in tables:
-        fs, old = _fs(spark, f"{folder}/{name}.parquet")
-        _, new = _fs(spark, f"{folder}/_new-{tag}/{name}")
-        _, away = _fs(spark, f"{folder}/_old-{tag}-{name}")
-        if fs.exists(old) and not fs.rename(old, away):
-            raise OSError(f"{old} can't be moved")
-        if not fs.rename(new, old):
-            raise OSError(f"{new} can't be moved")
-        fs.delete(away, True)
-    fs, left = _fs(spark, f"{folder}/_new-{tag}")
-    fs.delete(left, True)
+        df.write.parquet(f"{folder}/{version}/{name}.parquet")
+        counts[name] = spark.read.parquet(f"{folder}/{version}/{name}.parquet").count()
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.text(f"{folder}/pointer-{version}")
+    fs, old = path_of(spark, f"{folder}/pointer")
+    _, new = path_of(spark, f"{folder}/pointer-{version}")
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{new} can't be moved")
     return counts
 
 
+def current(spark: SparkSession, folder: str) -> str:
+    """The folder of the version that the pointer names."""
+    return f"{folder}/{spark.read.text(f'{folder}/pointer').first()[0]}"
+
+
 def with_ids(df: DataFrame, last: int, id_col: str = "id") -> DataFrame:
     """Adds ids last + 1, last + 2, ... without gathering rows: places in a partition plus the rows of earlier ones."""
     placed = materialize(df.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id()), "ids")
@@ -82,7 +73,7 @@ def with_ids(df: DataFrame, last: int, id_col: str = "id") -> DataFrame:
 def append(df: DataFrame, path: str, id_col: str = "id") -> int:
     """Append rows with new ids; the last id. The first append makes the table."""
     spark = df.sparkSession
-    fs, p = _fs(spark, path)
+    fs, p = path_of(spark, path)
     last = spark.read.parquet(path).agg(F.max(id_col)).first()[0] or 0 if fs.exists(p) else 0
     new = materialize(with_ids(df, last, id_col), "append")
     new.write.mode("append").parquet(path)

@@ -5,5 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+def path_of(spark: SparkSession, path: str):
+    """The file system a path is on, and the path for it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def optional_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """The table, or a typed empty one if it is missing."""
+    fs, p = path_of(spark, path)
+    return spark.read.parquet(path) if fs.exists(p) else spark.createDataFrame([], ddl)
