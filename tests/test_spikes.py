@@ -52,6 +52,35 @@ def test_seams_between_partitions_and_chunks_change_nothing(spark):
     assert flags(spark, data, 1, chunk=300) == whole
 
 
+def test_a_source_whose_scatter_changes_is_judged_alike_however_it_is_cut(spark):
+    rng = np.random.default_rng(9)
+    data, every = [], []
+    for k, n in enumerate((4000, 700, 258)):
+        y = 20 + rng.normal(0, 1, n) * np.repeat([1.0, 3.0], [n // 2, n - n // 2])
+        y[n // 3 : n // 3 + 2] += 12
+        y[3 * n // 4] -= 30
+        every.append(y)
+        data += table(y.round(2), f"T{k}", 10_000 * k)
+    whole = flags(spark, data, 1)
+    assert len(whole) > 6
+    for p in (2, 7):
+        assert flags(spark, data, p) == whole
+    assert flags(spark, data, 1, chunk=300) == whole == flags(spark, data, 3, chunk=300)
+
+
+def test_measures_add_up_over_any_cut(spark):
+    c = spikes.SpikeConfig()
+    y = np.r_[series(500, 3), [5.0] * 9, series(200, 4)].clip(None, 1e100)
+    whole = spikes.measure(y, 0, len(y), c)
+    parts = [spikes.measure(y, a, b, c) for a, b in ((0, 100), (100, 505), (505, len(y)))]
+    assert whole[1:] == tuple(sum(p[i] for p in parts) for i in (1, 2))
+    assert whole[0] == {k: sum(p[0].get(k, 0) for p in parts) for k in whole[0]}
+    d = np.abs(np.diff(y))[(spikes.run_lengths(y)[1:] < 3) | (np.diff(y) != 0)]
+    cells = np.repeat(list(whole[0]), list(whole[0].values()))
+    s = spark.range(1).select(spikes.scatter(F.lit(int(np.sort(cells)[(len(cells) - 1) // 2])), c)).first()[0]
+    assert abs(s / (1.4826 * np.median(d) / np.sqrt(2)) - 1) < 0.02
+
+
 def test_copies_share_the_verdict_and_do_not_lengthen_runs(spark):
     y = series(60)
     y[20] += 6

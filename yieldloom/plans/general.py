@@ -103,18 +103,7 @@ r AS (
   GROUP BY g.fab_line, g.day)
 """
 
-ORACLE = {
-    "p1_key_rows": _KEY_ROWS,
-    "p1_found": f"""
-SELECT field, key_value FROM (SELECT *, sum(rows) OVER (PARTITION BY field) AS total FROM ({_KEY_ROWS}))
-WHERE rows >= 0.04 * total AND key_value IS NOT NULL""",
-    "p1_tool_defects": """
-SELECT upper(trim(s.tool_id)) AS tool_id, count(*) AS pairs, count(CASE WHEN NOT isnan(d.r) THEN d.r END) AS radii,
-       round(avg(CASE WHEN NOT isnan(s.value) THEN s.value END), 4) AS mean_value,
-       round(avg(CASE WHEN NOT isnan(d.r) THEN d.r END), 6) AS mean_radius
-FROM process_steps s JOIN (SELECT upper(trim(lot_id)) AS lot, sqrt(x * x + y * y) AS r FROM defects) d ON d.lot = upper(trim(s.lot_id))
-GROUP BY upper(trim(s.tool_id))""",
-    "p6_found": """
+_FLAGS = """
 WITH r AS (
   SELECT *, upper(trim(tool_id)) AS tool, min(id) OVER (PARTITION BY lot_id, step_name, tool_id, parameter_name, value, spec_min, spec_max, "timestamp") AS original
   FROM process_steps WHERE tool_id IS NOT NULL AND parameter_name IS NOT NULL AND "timestamp" IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)),
@@ -127,8 +116,26 @@ sc AS (SELECT tool, parameter_name, 1.4826 * median(abs(d)) / sqrt(2) AS s FROM
 m AS (
   SELECT ro.*, s, median(value) OVER (PARTITION BY tool, parameter_name ORDER BY i ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS before,
          median(value) OVER (PARTITION BY tool, parameter_name ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING) AS after FROM ro JOIN sc USING (tool, parameter_name)),
-c AS (SELECT original FROM m WHERE n >= 20 AND (len >= 8 OR abs(value) > 1e7 OR (coalesce(abs(value - before) > 6.5 * s, true) AND coalesce(abs(value - after) > 6.5 * s, true))))
-SELECT id FROM r WHERE original IN (SELECT original FROM c)""",
+c AS (
+  SELECT original, CASE WHEN len >= 8 THEN 'stuck' WHEN abs(value) > 1e7 THEN 'impossible'
+                        WHEN coalesce(abs(value - before) > 6.5 * s, true) AND coalesce(abs(value - after) > 6.5 * s, true) THEN 'spike' END AS kind FROM m WHERE n >= 20),
+f AS (SELECT id, tool AS tool_id, parameter_name, kind FROM r JOIN c USING (original) WHERE kind IS NOT NULL)
+"""
+
+
+ORACLE = {
+    "p1_key_rows": _KEY_ROWS,
+    "p1_found": f"""
+SELECT field, key_value FROM (SELECT *, sum(rows) OVER (PARTITION BY field) AS total FROM ({_KEY_ROWS}))
+WHERE rows >= 0.04 * total AND key_value IS NOT NULL""",
+    "p1_tool_defects": """
+SELECT upper(trim(s.tool_id)) AS tool_id, count(*) AS pairs, count(CASE WHEN NOT isnan(d.r) THEN d.r END) AS radii,
+       round(avg(CASE WHEN NOT isnan(s.value) THEN s.value END), 4) AS mean_value,
+       round(avg(CASE WHEN NOT isnan(d.r) THEN d.r END), 6) AS mean_radius
+FROM process_steps s JOIN (SELECT upper(trim(lot_id)) AS lot, sqrt(x * x + y * y) AS r FROM defects) d ON d.lot = upper(trim(s.lot_id))
+GROUP BY upper(trim(s.tool_id))""",
+    "p6_found": _FLAGS + "SELECT id FROM f",
+    "p6_flags": _FLAGS + "SELECT * FROM f",
     "p5_rolling": _DAYS + """
 SELECT fab_line, strftime(day, '%Y-%m-%d') AS day, n7 AS lots_7, round(coalesce(s7, 0), 4) AS yield_sum_7, round(m7, 6) AS yield_mean_7,
        n30 AS lots_30, round(coalesce(s30, 0), 4) AS yield_sum_30, round(m30, 6) AS yield_mean_30 FROM r""",
