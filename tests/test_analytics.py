@@ -117,7 +117,7 @@ def test_fisher_equals_exact_sums(spark):
     rnd = random.Random(6)
     tables = [(10, 0, 0, 10), (5, 5, 5, 5), (8, 2, 2, 8), (0, 5, 0, 5), (0, 0, 3, 4)] + [tuple(rnd.randint(0, 60) for _ in range(4)) for _ in range(40)]
     t = spark.createDataFrame([(i, *x) for i, x in enumerate(tables)], "k int, a long, b long, c long, d long")
-    for r in commonality.fisher(t, ["k"], block=7).collect():
+    for r in commonality.fisher(t).collect():
         want = 1.0 if 0 in (r.a + r.c, r.a + r.b) else fisher(r.a, r.b, r.c, r.d)
         assert abs(r.p_value - want) < 1e-9
     x = t.filter("k < 2").select(commonality.odds_ratio().alias("o"), commonality.relative_risk().alias("r")).collect()
@@ -186,6 +186,11 @@ def test_experiments_have_every_corner_and_a_permuted_order(spark, line):
     assert all(r.low <= r.nominal <= r.high for r in lv)
 
 
+def test_fisher_of_large_margins():
+    assert abs(commonality.two_sided(500_300, 499_700, 500_000, 500_000) - 0.6717) < 1e-3  # about normal: z = 0.424
+    assert commonality.two_sided(10**9, 0, 0, 10**9) == 0.0 and commonality.two_sided(5, 10**9, 0, 10**9) > 0.05
+
+
 def test_excursions(spark):
     s = readings(spark, [10.0, 14.0, None, 10.5, 6.0], 7, 13)
     t = excursions.leading(excursions.excursion_scores(s)).orderBy("rank").collect()

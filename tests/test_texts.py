@@ -89,3 +89,30 @@ def test_weighted_fields(spark):
     t = spark.createDataFrame([(7, "gas", "etch", ["donut", "ring"])], "id long, title string, step string, signatures array<string>")
     assert t.select(retrieval.weighted_text(t).alias("w")).first().w == "gas gas gas etch etch etch donut ring donut ring 7"
     assert t.select(retrieval.weighted_text(t, {"step": 3}, "").alias("w")).first().w == "etchetchetch"
+
+
+def test_score_claims_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    from yieldloom.plans import registry
+
+    con = duckdb.connect()
+    for p in Path(DATA).glob("*.parquet"):
+        if p.stem != "mock_findings":
+            (tmp_path / p.name).symlink_to(p)
+    con.execute(f"COPY (SELECT * REPLACE (CASE finding_id % 3 WHEN 0 THEN 'risk score 0.5' WHEN 1 THEN 'Score of 0.93, score 0.07' ELSE evidence END AS evidence) FROM '{DATA}/mock_findings.parquet') TO '{tmp_path}/mock_findings.parquet'")
+    for p in tmp_path.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    got = rows(texts.evidence_claims(spark, str(tmp_path)), "id", "kind", "place", "word", "grounded")
+    want = con.execute(f"SELECT id, kind, place, word, grounded FROM ({registry.ORACLE['evidence_claims']})").fetchall()
+    assert got == sorted(tuple(r) for r in want)
+    assert {g for _, kind, _, _, g in got if kind == "risk_score"} == {True, False}
+
+
+def test_cause_queries_and_stubs(spark):
+    docs, _, causes = knowledge(spark)
+    q = retrieval.cause_queries(causes.limit(1), "query_id")
+    assert rows(q) == [("a", "Etch  etch-07 chamber pressure donut", "Etch")]
+    assert {r.id for r in retrieval.hybrid(docs, q, causes=causes).collect()} == {1}
+    stubs = spark.createDataFrame([(9, "new"), (1, "known"), (None, "no id")], "id long, text string")
+    assert {r.id for r in retrieval.with_stubs(docs, stubs).collect()} == {1, 2, 3, 4, 5, 9}

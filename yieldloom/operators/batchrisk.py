@@ -1,8 +1,9 @@
 """Lots in progress whose readings resemble those of lots that ended with a low yield.
 
-A lot's fingerprint is its last z per source. Every lot in progress is compared with every low-yield lot over the
-sources both have. That search is done in blocks: fingerprints of at most `block` lots a side meet in one task, and
-each task passes on only the best match of each of its lots in progress.
+A lot's fingerprint is its last z per source. The lots in progress are a query set held against all low-yield lots,
+over the sources both have, in blocks: fingerprints of at most `block` lots a side meet in one task, which compares
+them by matrix products and passes on only the best match of each of its lots in progress. No index prunes this
+search without loss: two lots at risk may differ by 1.4 deviations in every source, which is what lots differ by at random.
 """
 
 from __future__ import annotations
@@ -11,55 +12,54 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from yieldloom.operators import lots as ops, rootcause
+from yieldloom.operators import lots as ops
 from yieldloom.operators.lots import KEY
+from yieldloom.session import materialize
 
 
 def fingerprints(steps: DataFrame, base: DataFrame) -> DataFrame:
-    """lot_id, source, z: the last reading of each source in standard deviations from its baseline."""
+    """lot_id, source, z: the last reading of each source in standard deviations from its baseline. base: best a written table."""
     last = ops.latest(steps.filter("value is not null"))
-    t = last.join(base.select(*KEY, "base_mean", "base_sd"), KEY)
+    t = last.join(ops.small(base.select(*KEY, "base_mean", "base_sd")), KEY)
     return t.select("lot_id", F.concat_ws("|", *KEY).alias("source"), ((F.col("value") - F.col("base_mean")) / F.col("base_sd")).alias("z"))
 
 
 def _best(abnormal_z: float, calm: float):
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = {"lot_id": [], "match": [], "similarity": []}
-        if len(a) and len(b):
-            number = {s: i for i, s in enumerate(sorted({*np.concatenate(list(a["sources"])), *np.concatenate(list(b["old_sources"]))}))}
+        if not len(a) or not len(b):
+            return pd.DataFrame({"lot_id": [], "match": [], "similarity": []})
+        b = b.sort_values("old_lot")
+        _, number = np.unique(np.concatenate([*a["sources"], *b["old_sources"]]), return_inverse=True)
 
-            def matrix(pdf: pd.DataFrame) -> np.ndarray:
-                m = np.full((len(pdf), len(number)), np.nan)
-                for i, (s, z) in enumerate(zip(pdf["sources"], pdf["zs"])):
-                    m[i, [number[x] for x in s]] = z
-                return m
+        def matrices(zs: pd.Series, number: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+            row = np.repeat(np.arange(len(zs)), zs.map(len).to_numpy())
+            z, has = np.zeros((len(zs), width)), np.zeros((len(zs), width))
+            z[row, number], has[row, number] = np.concatenate(list(zs)), 1.0
+            return z, has
 
-            b = b.rename(columns={"old_lot": "lot_id", "old_sources": "sources", "old_zs": "zs"}).sort_values("lot_id")
-            old, names = matrix(b), b["lot_id"].to_numpy()
-            for lot, z in zip(a["lot_id"], matrix(a)):
-                has = ~np.isnan(z)
-                d2 = (old[:, has] - z[has]) ** 2
-                shared = ~np.isnan(d2)
-                n = shared.sum(axis=1)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    sim = np.exp(-np.sqrt(np.nansum(d2, axis=1) / n) / 2)
-                active = (shared & (np.abs(z[has]) >= abnormal_z)).any(axis=1)
-                sim = np.where(n > 0, np.where(active, sim, sim * calm), -1.0)
-                best = int(np.argmax(np.round(sim, 9)))
-                if sim[best] >= 0:
-                    out["lot_id"].append(lot)
-                    out["match"].append(names[best])
-                    out["similarity"].append(float(sim[best]))
-        return pd.DataFrame(out)
+        width, cut = int(number.max()) + 1, int(a["sources"].map(len).sum())
+        (za, ha), (zb, hb) = matrices(a["zs"], number[:cut], width), matrices(b["old_zs"], number[cut:], width)
+        n = ha @ hb.T
+        d2 = np.maximum(0, (za**2) @ hb.T + ha @ (zb**2).T - 2 * za @ zb.T)
+        active = ((np.abs(za) >= abnormal_z) * ha) @ hb.T > 0
+        sim = np.where(n > 0, np.exp(-np.sqrt(d2 / np.maximum(n, 1)) / 2) * np.where(active, 1.0, calm), -1.0)
+        # Matrix products lose some digits: those about as near as the best are compared again, one by one.
+        i, j = np.nonzero((sim >= sim.max(axis=1, keepdims=True) - 1e-6) & (sim >= 0))
+        both = ha[i] * hb[j]
+        exact = np.exp(-np.sqrt((((za[i] - zb[j]) * both) ** 2).sum(axis=1) / both.sum(axis=1)) / 2) * np.where(active[i, j], 1.0, calm)
+        order = np.lexsort((j, -np.round(exact, 9), i))
+        first = order[np.r_[True, np.diff(i[order]) > 0]] if len(order) else order
+        return pd.DataFrame({"lot_id": a["lot_id"].to_numpy()[i[first]], "match": b["old_lot"].to_numpy()[j[first]], "similarity": exact[first]})
 
     return run
 
 
-def best_matches(running: DataFrame, history: DataFrame, abnormal_z: float = 1.5, calm: float = 0.20, block: int = 1000) -> DataFrame:
+def best_matches(running: DataFrame, history: DataFrame, abnormal_z: float = 1.5, calm: float = 0.20, block: int = 2000) -> DataFrame:
     """lot_id, match, similarity: for each running lot the most similar low-yield lot; equal ones: the smaller lot_id."""
     pack = lambda t: t.groupBy("lot_id").agg(F.collect_list("source").alias("sources"), F.collect_list("z").alias("zs"))
-    a, b = pack(running), pack(history).select(F.col("lot_id").alias("old_lot"), F.col("sources").alias("old_sources"), F.col("zs").alias("old_zs"))
-    na, nb = (max(1, -(-t.select("lot_id").distinct().count() // block)) for t in (running, history))
+    a = materialize(pack(running), "running")
+    b = materialize(pack(history).select(F.col("lot_id").alias("old_lot"), F.col("sources").alias("old_sources"), F.col("zs").alias("old_zs")), "history")
+    na, nb = (max(1, -(-t.count() // block)) for t in (a, b))
     a = a.withColumn("qa", F.pmod(F.xxhash64("lot_id"), F.lit(na)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
     b = b.withColumn("qb", F.pmod(F.xxhash64("old_lot"), F.lit(nb)).cast("int")).withColumn("qa", F.explode(F.sequence(F.lit(0), F.lit(na - 1))))
     found = a.groupBy("qa", "qb").cogroup(b.groupBy("qa", "qb")).applyInPandas(_best(abnormal_z, calm), "lot_id string, match string, similarity double")
@@ -67,9 +67,8 @@ def best_matches(running: DataFrame, history: DataFrame, abnormal_z: float = 1.5
     return t.select("lot_id", F.col("b.match").alias("match"), F.col("b.similarity").alias("similarity"))
 
 
-def at_risk(lots: DataFrame, steps: DataFrame, signatures: DataFrame, statuses: tuple[str, ...] = ("in_progress",), least: float = 0.50) -> DataFrame:
-    """Running lots of at least that risk: lot_id, risk_score, matched_signature, match."""
-    z = fingerprints(steps, rootcause.baselines(steps, lots))
+def at_risk(lots: DataFrame, z: DataFrame, signatures: DataFrame, statuses: tuple[str, ...] = ("in_progress",), least: float = 0.50) -> DataFrame:
+    """z: of fingerprints(), best written. Running lots of at least that risk: lot_id, risk_score, matched_signature, match."""
     running = z.join(lots.filter(F.col("status").isin(*statuses)).select("lot_id"), "lot_id", "left_semi")
     history = z.join(lots.filter("cohort = 'affected'").select("lot_id"), "lot_id", "left_semi")
     t = best_matches(running, history).withColumn("risk", F.least(F.greatest("similarity", F.lit(0.05)), F.lit(0.96))).filter(F.col("risk") >= least)

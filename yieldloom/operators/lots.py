@@ -11,6 +11,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 KEY = ["step", "tool_id", "parameter"]
+#: Most rows of a table of sources or lots that is broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(written: DataFrame) -> DataFrame:
+    """A written table with a broadcast hint if it has few rows, which are counted from the files' footers."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
 
 
 def where_equal(df: DataFrame, **wanted: object) -> DataFrame:

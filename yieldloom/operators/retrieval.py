@@ -1,8 +1,9 @@
 """Ranked retrieval of documents for a set of queries: BM25, TF-IDF cosine and domain boosts.
 
-Documents are cut into terms once: the postings (id, term, tf) are written to the shared folder, and frequencies,
-lengths and norms are taken from them, over all documents and whole texts. The queries are the small side: their terms are broadcast (if there
-are few, which is counted first) and only postings of those terms are joined.
+Documents are cut into terms once: the postings (id, term, tf), the terms (term, df) and the documents (id, length, norm) are
+written to the shared folder, over all documents and whole texts, and any number of query sets reads them. The queries are the
+small side: their terms are broadcast (if there are few, which is counted first), so that only postings of those terms are
+read on; lengths and norms are joined to the scores by document.
 
 Documents without tokens are documents but match nothing; queries without tokens have no results. Ties rank by
 document id.
@@ -14,6 +15,7 @@ large as the names in it, not as the causes. Names are compared in one spelling;
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -31,17 +33,37 @@ FIELD_WEIGHTS = {"title": 3, "step": 3, "parameter": 2, "signatures": 2, "keywor
 @dataclass
 class Index:
     postings: DataFrame  # id, term, tf; pairs of words have a blank in them
+    terms: DataFrame  # term, df
+    docs: DataFrame  # id, len (in words), norm (of the TF-IDF vector)
     documents: int
-    mean_length: float  # in words
+    mean_length: float
 
 
-def build_index(docs: DataFrame) -> Index:
-    """docs: id, text."""
-    tf = fx.with_terms(docs, "text", "id").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    tf = materialize(tf, "postings")
-    words = tf.filter("not contains(term, ' ')").agg(F.sum("tf")).first()[0] or 0
-    n = docs.count()
-    return Index(tf, n, words / n if n else 0.0)
+def _idf(documents: int) -> Column:
+    return F.log((1.0 + documents) / (1 + F.col("df"))) + 1
+
+
+def _meant() -> Column:
+    return ~F.col("term").isin(fx.STOP_WORDS)
+
+
+def build_index(docs: DataFrame, write: Callable[[str, Callable[[], DataFrame]], DataFrame] = lambda name, make: materialize(make(), name)) -> Index:
+    """docs: id, text. write(name, make) writes a table and gives it back."""
+    tf = write("postings", lambda: fx.with_terms(docs, "text", "id").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    df = write("terms", lambda: tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+
+    def lengths() -> DataFrame:
+        n = docs.count()
+        common = df.filter("df > 1")  # a term of one document has df 1; the others are far fewer
+        common = F.broadcast(common) if common.count() <= BROADCAST_TERMS else common
+        w = (1 + F.log("tf")) * _idf(n)
+        t = tf.join(common, "term", "left").fillna(1, ["df"])
+        t = t.groupBy("id").agg(F.sum(F.when(~F.contains("term", F.lit(" ")), F.col("tf"))).alias("len"), F.sqrt(F.sum(F.when(_meant(), w * w))).alias("norm"))
+        return docs.select("id").join(t, "id", "left").fillna(0, ["len"])
+
+    known = write("documents", lengths)
+    n, mean = known.agg(F.count(F.lit(1)), F.avg("len")).first()
+    return Index(tf, df, known, n, mean or 0.0)
 
 
 def _hint(queries: DataFrame):
@@ -57,11 +79,8 @@ def bm25(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75) ->
     """
     small = _hint(queries)
     q = queries.select("query_id", F.explode(fx.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    words = index.postings.filter("not contains(term, ' ')")
-    lengths = words.groupBy("id").agg(F.sum("tf").alias("len"))
-    tf = words.join(small(q.select("term").distinct()), "term", "left_semi")
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    p = tf.join(small(df), "term").join(lengths, "id").join(small(q), "term")
+    q = index.terms.join(small(q), "term")
+    p = index.postings.join(small(q), "term").join(index.docs.select("id", "len"), "id")
     idf = F.log((index.documents - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / index.mean_length))
     return p.groupBy("query_id", "id").agg(F.sum(F.col("qtf") * idf * weight).alias("bm25"))
@@ -70,17 +89,12 @@ def bm25(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75) ->
 def tfidf(index: Index, queries: DataFrame) -> DataFrame:
     """query_id, id, cosine of sublinear, L2-normalised TF-IDF vectors over words that are no stop words, and pairs."""
     small = _hint(queries)
-    meant = ~F.col("term").isin(fx.STOP_WORDS)
-    tf = index.postings.filter(meant)
-    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", (F.log((1.0 + index.documents) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = (1 + F.log("tf")) * F.col("idf")
-    q = fx.with_terms(queries, "text", "query_id").filter(meant).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    q = idf.join(small(q), "term").select("query_id", "term", w.alias("qw"))
-    q = q.join(q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") ** 2)).alias("qn")), "query_id").select("query_id", "term", (F.col("qw") / F.col("qn")).alias("qw"))
-    d = tf.join(idf, "term").select("id", "term", w.alias("w"))
-    norms = d.groupBy("id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
-    dots = d.join(small(q), "term").groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
-    return dots.join(norms, "id").select("query_id", "id", (F.col("dot") / F.col("norm")).alias("cosine"))
+    idf = _idf(index.documents)
+    q = fx.with_terms(queries, "text", "query_id").filter(_meant()).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    q = index.terms.join(small(q), "term").select("query_id", "term", idf.alias("idf"), ((1 + F.log("tf")) * idf).alias("qw"))
+    q = q.join(q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") ** 2)).alias("qn")), "query_id").select("query_id", "term", "idf", (F.col("qw") / F.col("qn")).alias("qw"))
+    dots = index.postings.join(small(q), "term").groupBy("query_id", "id").agg(F.sum(F.col("qw") * (1 + F.log("tf")) * F.col("idf")).alias("dot"))
+    return dots.join(index.docs.select("id", "norm"), "id").select("query_id", "id", (F.col("dot") / F.col("norm")).alias("cosine"))
 
 
 def weighted_text(docs: DataFrame, weights: dict[str, int] = FIELD_WEIGHTS, separator: str = " ") -> Column:
@@ -138,16 +152,21 @@ def domain_boost() -> Column:
     return F.least(named + known, F.lit(1.0))
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, top: int = 5, alpha: float = 0.6, causes: DataFrame | None = None) -> DataFrame:
+def hybrid(docs: DataFrame, queries: DataFrame, top: int = 5, alpha: float = 0.6, causes: DataFrame | None = None, index: Index | None = None) -> DataFrame:
     """docs: id, text, step; the top documents of each query by alpha * bm25 / 20 + (1 - alpha) * cosine + 0.3 * domain_boost.
 
     bm25 / 20 counts up to 1. Scores of 0 are left out; a document without a common word can come in by its boost, so
-    boosts are taken over all pairs, each a look at a few names. Where queries have step_filter, only documents of that step count.
+    boosts are taken over all documents for each of the queries, each a look at a few names. Where queries have step_filter, only
+    documents of that step count.
     """
     small = _hint(queries)
-    index = build_index(docs.select("id", "text"))
+    index = index or build_index(docs.select("id", "text"))
     asked = _asked(queries, causes, "step_filter").filter(F.size(fx.tokens(F.col("q"))) > 0)
-    boosts = _facts(docs, causes).crossJoin(small(asked)).select("query_id", "id", domain_boost().alias("boost")).filter("boost > 0")
+    facts, whole = _facts(docs, causes), asked.filter("step_filter is null").drop("step_filter")
+    pairs = facts.crossJoin(small(whole))
+    if "step_filter" in queries.columns:
+        pairs = pairs.unionByName(facts.join(small(asked.withColumnRenamed("step_filter", "step")), "step"))
+    boosts = pairs.select("query_id", "id", domain_boost().alias("boost")).filter("boost > 0")
     t = bm25(index, queries).join(tfidf(index, queries), ["query_id", "id"], "full").join(boosts, ["query_id", "id"], "full").fillna(0.0, ["boost"])
     shown = [c for c in ("step", "parameter", "signatures") if c in docs.columns]
     t = t.join(docs.select("id", *shown), "id")
@@ -162,6 +181,17 @@ def hybrid(docs: DataFrame, queries: DataFrame, top: int = 5, alpha: float = 0.6
     return t.select("query_id", "rank", "id", *shown, "score", method.alias("method"))
 
 
+def cause_queries(causes: DataFrame, id_col: str) -> DataFrame:
+    """A query per candidate cause (step, tool_id, parameter, spatial_signature), of its names, for documents of its step only."""
+    words = F.concat_ws(" ", "step", "tool_id", F.replace("parameter", F.lit("_"), F.lit(" ")), "spatial_signature")
+    return causes.select(F.col(id_col).alias("query_id"), words.alias("text"), F.col("step").alias("step_filter"))
+
+
+def with_stubs(docs: DataFrame, stubs: DataFrame) -> DataFrame:
+    """The documents and those promoted stubs that have an id of their own; columns that one side lacks are null."""
+    return docs.unionByName(stubs.filter("id is not null").join(docs.select("id"), "id", "left_anti"), allowMissingColumns=True)
+
+
 def merge(results: DataFrame, group: str, top: int = 5) -> DataFrame:
     """Results of several sub-queries of one question: each document once with its best score, the top ones."""
     best = results.groupBy(group, "id").agg(F.max("score").alias("score"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from yieldloom.operators import lots as ops
 from yieldloom.operators.lots import KEY
 from yieldloom.session import materialize
 
@@ -36,17 +37,15 @@ def key_stats(steps: DataFrame) -> DataFrame:
     return t.withColumn("cpk", cpk(*[F.col(c) for c in ("mean", "sd", "n", "spec_min", "spec_max")]))
 
 
-def chunked(rows: DataFrame, keys: list[str], order: list[str], before: int, chunk_rows: int = 200_000, partitions: int | None = None) -> DataFrame:
+def chunked(rows: DataFrame, keys: list[str], order: list[str], before: int, partitions: int | None = None) -> DataFrame:
     """The rows with a column chunk, and in each chunk, marked by context, up to `before` rows of the same key before it.
 
     Windows over (keys, chunk) with frames of at most `before` preceding rows then see what windows over keys would.
     A key spans several chunks only if its rows fill whole partitions, which are larger than `before`.
     """
-    n = partitions or max(1, -(-rows.count() // chunk_rows))
     cols = [*keys, *order]
-    placed = rows.repartitionByRange(n, *cols).sortWithinPartitions(*cols).withColumn("chunk", F.spark_partition_id())
-    if n == 1:
-        return placed.withColumn("context", F.lit(False))
+    ranged = rows.repartitionByRange(partitions, *cols) if partitions else rows.repartitionByRange(*cols)
+    placed = ranged.sortWithinPartitions(*cols).withColumn("chunk", F.spark_partition_id())
     placed = materialize(placed, "chunks")
     runs = placed.groupBy(*keys, "chunk").agg(F.count(F.lit(1)).alias("_rows"))  # one row per key and chunk
     runs = runs.withColumn("_next", F.lead("chunk").over(W.partitionBy(*keys).orderBy("chunk"))).filter("_next is not null")
@@ -57,13 +56,13 @@ def chunked(rows: DataFrame, keys: list[str], order: list[str], before: int, chu
 
 
 def control_chart(steps: DataFrame, stats: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Every reading with z against its source's mean and deviation and the four Western Electric rules.
+    """Every reading with z against its source's mean and deviation and the four Western Electric rules; stats: best a written table.
 
     rule1: beyond 3 sigma. rule2: two of three beyond 2 on one side. rule3: four of five beyond 1 on one side.
     rule4: eight in a row on one side. A source without scatter counts deviations in units of 1e-6.
     """
     rows = steps.filter("value is not null").select(*KEY, "ts", "id", "lot_id", "value")
-    t = chunked(rows, KEY, ["ts", "id"], before=7, partitions=partitions).join(stats.select(*KEY, "mean", "sd"), KEY)
+    t = chunked(rows, KEY, ["ts", "id"], before=7, partitions=partitions).join(ops.small(stats.select(*KEY, "mean", "sd")), KEY)
     t = t.withColumn("z", (F.col("value") - F.col("mean")) / F.when(F.col("sd") <= 1e-12, 1e-6).otherwise(F.col("sd")))
     w = W.partitionBy(*KEY, "chunk").orderBy("ts", "id")
 
@@ -86,7 +85,7 @@ def violations(chart: DataFrame) -> DataFrame:
 
 def summary(steps: DataFrame) -> DataFrame:
     """Capability, rule violations, latest value and its z per source."""
-    stats = key_stats(steps)
+    stats = materialize(key_stats(steps), "stats")
     t = stats.join(violations(control_chart(steps, stats)), KEY, "left")
     z = F.when(F.col("sd") > 1e-12, (F.col("last_value") - F.col("mean")) / F.col("sd")).otherwise(0.0)
     return t.withColumn("out_of_capability", out_of_capability(F.col("cpk"))).withColumn("last_z", z)

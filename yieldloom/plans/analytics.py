@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from yieldloom.operators import batchrisk, commonality, outcome, rootcause, spatial, spc
 from yieldloom.operators.lots import KEY
+from yieldloom.session import kept, materialize
 from yieldloom.sources import fab
+from yieldloom.sources.tables import state_of
 
 
 def spc_capability(spark: SparkSession, d: str) -> DataFrame:
@@ -17,7 +19,7 @@ def spc_capability(spark: SparkSession, d: str) -> DataFrame:
 def spc_violations(spark: SparkSession, d: str) -> DataFrame:
     """Every reading that violates a Western Electric rule, with the rules."""
     s = fab.steps(spark, d)
-    t = spc.control_chart(s, spc.key_stats(s)).filter("rule1 or rule2 or rule3 or rule4")
+    t = spc.control_chart(s, materialize(spc.key_stats(s), "stats")).filter("rule1 or rule2 or rule3 or rule4")
     return t.select(*KEY, "id", F.round("z", 4).alias("z"), "rule1", "rule2", "rule3", "rule4")
 
 
@@ -39,64 +41,80 @@ def wafer_signatures(spark: SparkSession, d: str) -> DataFrame:
     return _signature_columns(spatial.signatures(fab.defects(spark, d).filter("wafer_id is not null"), by), by)
 
 
-def parameter_baselines(spark: SparkSession, d: str) -> DataFrame:
-    t = rootcause.baselines(fab.steps(spark, d), fab.lots(spark, d))
-    return t.select(*KEY, "n", "normal_n", F.round("base_mean", 3).alias("base_mean"), F.round("base_sd", 3).alias("base_sd"))
+def baselines(spark: SparkSession, d: str) -> DataFrame:
+    """The baselines of all sources, written once for all that need them."""
+    return kept(spark, "baselines", state_of(spark, d, "process_steps", "wafer_lots"), lambda: rootcause.baselines(fab.steps(spark, d), fab.lots(spark, d)))
+
 
+def fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """The last deviations of all lots, written once for all that need them."""
+    return kept(spark, "fingerprints", state_of(spark, d, "process_steps", "wafer_lots"), lambda: batchrisk.fingerprints(fab.steps(spark, d), baselines(spark, d)))
 
-def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    return rootcause.rank_causes(fab.lots(spark, d), fab.steps(spark, d), fab.defects(spark, d))
+
+def ranked(spark: SparkSession, d: str) -> DataFrame:
+    """The ranking of all lots, written once for all that need it."""
+    make = lambda: rootcause.rank_causes(fab.lots(spark, d), fab.steps(spark, d), fab.defects(spark, d), base=baselines(spark, d))
+    return kept(spark, "ranking", state_of(spark, d, "process_steps", "wafer_lots", "defects"), make)
+
+
+def parameter_baselines(spark: SparkSession, d: str) -> DataFrame:
+    t = baselines(spark, d)
+    return t.select(*KEY, "n", "normal_n", F.round("base_mean", 3).alias("base_mean"), F.round("base_sd", 3).alias("base_sd"))
 
 
 def root_causes(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(spark, d).select("lot_id", "rank", *KEY, "spatial_signature", "deviation_score", "confidence", "sample_size", "risk_score")
+    return ranked(spark, d).select("lot_id", "rank", *KEY, "spatial_signature", "deviation_score", "confidence", "sample_size", "risk_score")
 
 
 def root_cause_evidence(spark: SparkSession, d: str) -> DataFrame:
     """The contract as one nested row per lot; the evidence is wording, so there is no SQL."""
-    return rootcause.findings(_ranked(spark, d), batch_risk(spark, d))
+    return rootcause.findings(ranked(spark, d), batch_risk(spark, d))
 
 
 def batch_risk(spark: SparkSession, d: str) -> DataFrame:
     sign = spatial.signatures(fab.defects(spark, d)).select("lot_id", "signature")
-    return batchrisk.at_risk(fab.lots(spark, d), fab.steps(spark, d), sign)
+    return batchrisk.at_risk(fab.lots(spark, d), fingerprints(spark, d), sign).orderBy(F.desc("risk_score"), "lot_id")
+
+
+def _used(spark: SparkSession, d: str) -> DataFrame:
+    return kept(spark, "lot_tools", state_of(spark, d, "process_steps"), lambda: commonality.tools_of_lots(fab.steps(spark, d)))
 
 
 def tool_commonality(spark: SparkSession, d: str) -> DataFrame:
-    t = commonality.tool_tests(fab.lots(spark, d), fab.steps(spark, d))
+    t = commonality.tool_tests(fab.lots(spark, d), _used(spark, d))
     return t.select("tool_id", "a", "b", "c", "d", *[F.round(c, 6).alias(c) for c in ("p_value", "odds_ratio", "relative_risk")], "strength")
 
 
 def lot_commonality(spark: SparkSession, d: str) -> DataFrame:
-    s = fab.steps(spark, d)
-    t = commonality.for_lots(commonality.tool_tests(fab.lots(spark, d), s), s)
+    used = _used(spark, d)
+    t = commonality.for_lots(commonality.tool_tests(fab.lots(spark, d), used), used)
     return t.select("lot_id", "rank", "tool_id", "a", "c", F.round("p_value", 6).alias("p_value"))
 
 
 def yield_recovery(spark: SparkSession, d: str) -> DataFrame:
-    t = outcome.recovery(_ranked(spark, d), fab.lots(spark, d))
+    t = outcome.recovery(ranked(spark, d), fab.lots(spark, d))
     return t.select("lot_id", "rank", *KEY, *[F.round(c, 6).alias(c) for c in ("gap", "attributed", "recoverable", "low", "high")])
 
 
 def total_recovery(spark: SparkSession, d: str) -> DataFrame:
-    t = outcome.total_recovery(outcome.recovery(_ranked(spark, d), fab.lots(spark, d)))
+    t = outcome.total_recovery(outcome.recovery(ranked(spark, d), fab.lots(spark, d)))
     return t.select("lot_id", "causes", F.round("gap", 6).alias("gap"), F.round("recoverable", 6).alias("recoverable"))
 
 
 def ranker_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    t = outcome.accuracy(outcome.hits(_ranked(spark, d), fab.labels(spark, d)))
+    t = outcome.accuracy(outcome.hits(ranked(spark, d), fab.labels(spark, d)))
     return t.select("lots", F.round("top1", 6).alias("top1"), F.round("top3", 6).alias("top3"), F.round("brier", 6).alias("brier"), "passed")
 
 
 def ranker_calibration(spark: SparkSession, d: str) -> DataFrame:
-    t = outcome.calibration(outcome.hits(_ranked(spark, d), fab.labels(spark, d)))
+    t = outcome.calibration(outcome.hits(ranked(spark, d), fab.labels(spark, d)))
     return t.select("bin", "lots", F.round("predicted", 6).alias("predicted"), F.round("observed", 6).alias("observed"))
 
 
 def signature_patterns(spark: SparkSession, d: str) -> DataFrame:
     """Per signature of the defects: lots, mean yield, lots below 90, and the leading cause that most of them share."""
     sign = spatial.signatures(fab.defects(spark, d)).select("lot_id", "signature")
-    first = _ranked(spark, d).filter("rank = 1").select("lot_id", F.concat_ws(" ", "tool_id", "parameter").alias("cause"))
+    first = ranked(spark, d).filter("rank = 1").select("lot_id", F.concat_ws(" ", "tool_id", "parameter").alias("cause"))
     t = fab.lots(spark, d).join(sign, "lot_id").join(first, "lot_id", "left")
     causes = t.groupBy("signature", "cause").agg(
         F.count(F.lit(1)).alias("n"), F.sum("yield_pct").alias("y"), F.count("yield_pct").alias("k"), F.count_if(F.col("yield_pct") < 90).alias("low"))
@@ -274,7 +292,7 @@ SELECT tool_id, a, b, c, d, round(p_value, 6) AS p_value,
        CASE WHEN p_value < 0.001 THEN 'very strong' WHEN p_value < 0.01 THEN 'strong' WHEN p_value < 0.05 THEN 'moderate' ELSE 'not statistically significant' END AS strength FROM fish""",
     "lot_commonality": _FISHER + """
 SELECT lot_id, CAST(row_number() OVER (PARTITION BY lot_id ORDER BY round_even(p_value, 6), tool_id) AS INTEGER) AS rank, tool_id, a, c, round(p_value, 6) AS p_value
-FROM (SELECT DISTINCT lot_id, tool_id FROM steps) JOIN fish USING (tool_id) QUALIFY rank <= 5""",
+FROM (SELECT DISTINCT lot_id, tool_id FROM steps WHERE tool_id <> '') JOIN fish USING (tool_id) QUALIFY rank <= 5""",
     "yield_recovery": _RECOVERY + """
 SELECT lot_id, rank, step, tool_id, parameter, round(gap, 6) AS gap, round(attributed, 6) AS attributed, round(recoverable, 6) AS recoverable,
        round(recoverable * 0.7, 6) AS low, round(recoverable * 1.3, 6) AS high FROM rec""",

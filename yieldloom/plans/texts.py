@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from yieldloom.functions import text as fx
-from yieldloom.operators import batchrisk, doe, excursions, retrieval, rootcause, spc, verify
+from yieldloom.operators import doe, excursions, retrieval, spc, verify
 from yieldloom.operators.lots import KEY
-from yieldloom.plans.analytics import _BASE, _RANKED
+from yieldloom.plans.analytics import _BASE, _RANKED, baselines, fingerprints, ranked
+from yieldloom.session import kept
 from yieldloom.sources import fab
-from yieldloom.sources.tables import table
+from yieldloom.sources.tables import state_of, table
 
 
 def lot_excursions(spark: SparkSession, d: str) -> DataFrame:
@@ -19,8 +20,7 @@ def lot_excursions(spark: SparkSession, d: str) -> DataFrame:
 
 def _factors(spark: SparkSession, d: str) -> DataFrame:
     s = fab.steps(spark, d)
-    ranked = rootcause.rank_causes(fab.lots(spark, d), s, fab.defects(spark, d)).filter("rank = 1")
-    return doe.factors(ranked, doe.factor_levels(s))
+    return doe.factors(ranked(spark, d).filter("rank = 1"), doe.factor_levels(s))
 
 
 def doe_factors(spark: SparkSession, d: str) -> DataFrame:
@@ -46,24 +46,38 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "subject_areas").select(F.col("subject").alias("query_id"), F.concat_ws(" ", F.replace("subject", F.lit("_"), F.lit(" ")), "description").alias("text"))
 
 
+def _index(spark: SparkSession, d: str) -> retrieval.Index:
+    """The index of all documents, written once for all that search it."""
+    return retrieval.build_index(_docs(spark, d), lambda name, make: kept(spark, name, state_of(spark, d, "documents"), make))
+
+
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
-    t = retrieval.bm25(retrieval.build_index(_docs(spark, d)), _questions(spark, d))
+    t = retrieval.bm25(_index(spark, d), _questions(spark, d))
     return t.withColumn("bm25", F.round("bm25", 6))
 
 
 def tfidf_scores(spark: SparkSession, d: str) -> DataFrame:
-    t = retrieval.tfidf(retrieval.build_index(_docs(spark, d)), _questions(spark, d))
+    t = retrieval.tfidf(_index(spark, d), _questions(spark, d))
     return t.withColumn("cosine", F.round("cosine", 6))
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    t = retrieval.hybrid(_docs(spark, d), _questions(spark, d))
+    t = retrieval.hybrid(_docs(spark, d), _questions(spark, d), index=_index(spark, d))
+    return t.select("query_id", "rank", "id", F.round("score", 6).alias("score"), "method")
+
+
+def cause_search(spark: SparkSession, d: str) -> DataFrame:
+    """For every different cause that a label names, the three best documents of its step, all boosts of that cause counted."""
+    names = {"step": "injected_cause_step", "tool_id": "injected_cause_tool_id", "parameter": "injected_cause_parameter", "spatial_signature": "injected_signature"}
+    causes = fab.labels(spark, d).select(F.lower(F.trim("injected_cause_step")).alias("step"), *[F.col(c).alias(k) for k, c in names.items() if k != "step"]).distinct()
+    causes = causes.withColumn("query_id", F.concat_ws(" ", *names))
+    t = retrieval.hybrid(_docs(spark, d), retrieval.cause_queries(causes, "query_id"), top=3, causes=causes, index=_index(spark, d))
     return t.select("query_id", "rank", "id", F.round("score", 6).alias("score"), "method")
 
 
 def search_grades(spark: SparkSession, d: str) -> DataFrame:
     docs, q = _docs(spark, d), _questions(spark, d)
-    t = retrieval.grade(retrieval.hybrid(docs, q), docs, q)
+    t = retrieval.grade(retrieval.hybrid(docs, q, index=_index(spark, d)), docs, q)
     return t.select("query_id", "id", F.round("overlap", 6).alias("overlap"), "grade", "query_grade")
 
 
@@ -78,9 +92,8 @@ def _evidence(spark: SparkSession, d: str) -> DataFrame:
 
 def _references(spark: SparkSession, d: str) -> DataFrame:
     """Per lot: deviations of its last readings, capabilities of its sources, its tools, and the scores of its findings."""
-    s = fab.steps(spark, d)
-    base = rootcause.baselines(s, fab.lots(spark, d)).withColumn("cpk", spc.cpk(*[F.col(c) for c in ("pop_mean", "pop_sd", "n", "spec_min", "spec_max")]))
-    z = batchrisk.fingerprints(s, base).join(base.select(F.concat_ws("|", *KEY).alias("source"), "tool_id", "cpk"), "source")
+    base = baselines(spark, d).withColumn("cpk", spc.cpk(*[F.col(c) for c in ("pop_mean", "pop_sd", "n", "spec_min", "spec_max")]))
+    z = fingerprints(spark, d).join(base.select(F.concat_ws("|", *KEY).alias("source"), "tool_id", "cpk"), "source")
     t = z.groupBy("lot_id").agg(F.collect_list(F.abs("z")).alias("sigmas"), F.collect_set("cpk").alias("cpks"), F.collect_set("tool_id").alias("tools"))
     return t.join(verify.score_references(table(spark, d, "mock_findings")), "lot_id", "full")
 
@@ -104,7 +117,7 @@ def evidence_marked(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        lot_excursions, doe_factors, doe_runs, doe_order, bm25_scores, tfidf_scores, hybrid_search, search_grades, document_intents, evidence_claims, evidence_grounding, evidence_marked,
+        lot_excursions, doe_factors, doe_runs, doe_order, bm25_scores, tfidf_scores, hybrid_search, cause_search, search_grades, document_intents, evidence_claims, evidence_grounding, evidence_marked,
     )
 }
 
@@ -179,14 +192,15 @@ fp AS (
   FROM (SELECT * FROM steps WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lot_id, step, tool_id, parameter ORDER BY ts DESC, id DESC) = 1)
        JOIN base USING (step, tool_id, parameter)),
 refs AS (SELECT lot_id, list(z) AS sigmas, list(cpk) FILTER (WHERE cpk IS NOT NULL) AS cpks, list(tool_id) AS tools FROM fp GROUP BY lot_id),
+sc AS (SELECT lot_id, list(v) AS scores FROM (SELECT lot_id, unnest([risk_score, probability]) AS v FROM mock_findings) WHERE v BETWEEN 0 AND 1 GROUP BY lot_id),
 cl AS (SELECT *, CASE WHEN kind <> 'tool' THEN TRY_CAST(word AS DOUBLE) END AS value FROM (""" + " UNION ALL ".join(_found(k, p) for k, p in fx.claim_patterns().items()) + """)),
 ck AS (
   SELECT id, kind, CAST(place AS INTEGER) AS place, word,
          CASE WHEN kind = 'tool' THEN coalesce(list_contains(tools, word), true)
               WHEN kind = 'sigma' THEN len(list_filter(list_concat(coalesce(sigmas, []), [1.5, 2.0, 3.0, 6.0]), lambda r: abs(value - r) <= 0.5)) > 0
               WHEN kind = 'cpk' THEN coalesce(len(cpks), 0) = 0 OR len(list_filter(cpks, lambda r: abs(value - r) <= greatest(0.10, 0.05 * value))) > 0
-              ELSE true END AS grounded
-  FROM cl LEFT JOIN refs USING (lot_id) WHERE kind <> 'risk_score' OR value <= 1)
+              ELSE coalesce(len(scores), 0) = 0 OR len(list_filter(scores, lambda r: abs(value - r) <= greatest(0.05, 0.05 * value))) > 0 END AS grounded
+  FROM cl LEFT JOIN refs USING (lot_id) LEFT JOIN sc USING (lot_id) WHERE kind <> 'risk_score' OR value <= 1)
 """
 
 ORACLE = {

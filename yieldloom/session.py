@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 _local: list[str] = []
 #: What materialize() has written and clean() has not yet removed.
 _written: list[str] = []
+#: Tables that several results need, by what they were made from: path and schema.
+_kept: dict[tuple, tuple[str, object]] = {}
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -54,14 +57,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(spark: SparkSession, name: str, source: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several results need, written by the first of them and read by the others.
+
+    source says what it is made from: sources.tables.state_of() of the files, and parameters. When they change, or the
+    written files are gone, it is made again.
+    """
+    key = (spark.sparkContext.applicationId, name, source)
+    if key in _kept:
+        path, schema = _kept[key]
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            return spark.read.schema(schema).parquet(path)
+    out = materialize(make(), name)
+    _kept[key] = (_written[-1], out.schema)
+    return out
+
+
 def clean(spark: SparkSession) -> int:
     """Remove the intermediate tables this process has written; call it when the results that read them are written."""
     removed = len(_written)
+    _kept.clear()
     while _written:
         path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

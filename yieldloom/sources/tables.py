@@ -11,6 +11,17 @@ def path_of(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def state_of(spark: SparkSession, folder: str, *names: str) -> tuple:
+    """What the files of the tables are now: path, bytes, files and time of change. Other files give another state."""
+    out = []
+    for name in names:
+        fs, p = path_of(spark, f"{folder}/{name}.parquet")
+        if fs.exists(p):
+            size = fs.getContentSummary(p)
+            out.append((p.toString(), size.getLength(), size.getFileCount(), fs.getFileStatus(p).getModificationTime()))
+    return tuple(out)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
