@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 from yieldloom.llm import subjects
 
 AREAS = [("plants", "Trees, roots and leaves"), ("music", "Violin, concert, choir"), ("money", "Bank, loan and interest")]
@@ -61,8 +63,20 @@ def test_empty_tables(spark):
     assert isinstance(got, set)
 
 
+def cut_words(*texts):
+    cutter = subjects.Cutter()
+    word, row = cutter.cut(pa.array(texts, pa.string()))
+    names = list(cutter.number)
+    return [[names[w] for w in word[row == i]] for i in range(len(texts))]
+
+
 def test_markup_capitals_digits_and_codes_are_undone():
-    want = [["the", "pump", "the pump"], ["clean", "room", "clean room"]]
-    for t in ("The pump.\nClean room", "<p>THE PUMP.<br/>&nbsp;Clean room</p>", "the pump 3.5 CVD-41. c1ean r00m 17"):
-        assert list(subjects.sentences(t)) == want, t
-    assert list(subjects.sentences("GeprÃ¼ft")) == [["geprüft"]]
+    for got in cut_words("The pump.\nClean room", "<p>THE PUMP.<br/>&nbsp;Clean room</p>", "the pump 3.5 CVD-41. c1ean r00m 17", "The pump\nW02 clean room 17.", "the pump! clean_room"):
+        assert [w for w in got if w != "."] == ["the", "pump", "clean", "room"], got
+        assert got.index("clean") - got.index("pump") > 1, got  # an end of sentence lies between
+    assert cut_words("a 1", None, "", " ", "over-etch") == [[], [], [], [], ["over", "etch"]]
+
+
+def test_only_wrongly_decoded_letters_are_changed():
+    assert cut_words("GeprÃ¼ft", "NÃO: Die Prüfung der Ätzanlage wurde geprÃ¼ft", "Il a dâ€™abord Ã©tÃ©") == [
+        ["geprüft"], ["não", "die", "prüfung", "der", "ätzanlage", "wurde", "geprüft"], ["il", "abord", "été"]]

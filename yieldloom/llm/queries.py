@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from yieldloom.functions.columns import between, canonical
 from yieldloom.llm import clusters, mixing, packing, percentiles, subjects, tokens, topn
-from yieldloom.session import materialize
-from yieldloom.sources.tables import table
+from yieldloom.session import kept, materialize
+from yieldloom.sources.tables import state_of, table
 
 WAFER = ["lot_id", "wafer_id"]
 
@@ -104,8 +104,11 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _subjects(spark: SparkSession, d: str, config: subjects.SubjectConfig):
+    """The encoded documents and the topics, made by the first query that needs them."""
     labels = table(spark, d, "subject_labels").select(F.col("doc_id").alias("id"), "subject")
-    return subjects.prepare(table(spark, d, "documents"), "doc_id", "text", labels, table(spark, d, "subject_areas"), config)
+    source = (config, *state_of(spark, d, "documents", "subject_labels", "subject_areas"))
+    write = lambda name, make: kept(spark, name, source, make)
+    return subjects.prepare(table(spark, d, "documents"), "doc_id", "text", labels, table(spark, d, "subject_areas"), config, write)
 
 
 def p9_subjects(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +126,7 @@ def p9_topics(spark: SparkSession, d: str) -> DataFrame:
     """The topics, the subject each was mapped to (null: general) and its top terms, for inspection."""
     c = subjects.SubjectConfig()
     _, t = _subjects(spark, d, c)
-    rows = [(i, t.subjects[s] if s >= 0 else None, ", ".join(t.terms[j] for j in (-t.counts[i]).argsort(kind="stable")[:20])) for i, s in enumerate(t.subject_of)]
+    rows = [(i, t.subjects[s] if s >= 0 else None, ", ".join(t.term(j) for j in (-t.counts[i]).argsort(kind="stable")[:20])) for i, s in enumerate(t.subject_of)]
     return spark.createDataFrame(rows, "topic int, subject string, top_terms string")
 
 

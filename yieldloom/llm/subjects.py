@@ -1,8 +1,10 @@
 """Subject areas of documents from latent Dirichlet topics over their sentences.
 
-1. Sentences of all documents are cut into terms (words and pairs of neighbouring words). The vocabulary is
-   every term in at least min_share of the documents, so its size is bounded whatever the size of the corpus
-   (terms per document / min_share); it and the topics are the only things that pass through the driver.
+1. Texts are cut into words and sentence ends by Arrow's string functions, whole batches at a time; only the different
+   character strings of a task are looked at one by one. The vocabulary is every word, and every pair of neighbouring
+   known words, in at least min_share of the documents, the most_terms most frequent ones if there are more; it and the
+   topics are the only things that pass through the driver. Document frequencies are counted over all documents. The
+   known words of every sentence are written once, as numbers.
 2. Topics are fitted by collapsed variational Bayes (CVB0): each task holds the topic-term weights, infers the
    topics of its sentences and returns expected term counts, which Spark adds up by term. A bounded sample of
    labelled documents guides the start: in their sentences, only the topics of their subjects and the general
@@ -14,50 +16,111 @@
 
 Null, empty and blank texts, and texts without a sentence that treats a subject, have no subject. Equal texts
 get equal subjects. Of repeated labels one counts; labels of unknown subjects or documents are ignored. Without
-labels, the descriptions of the subjects alone guide the topics. Markup, wrongly decoded UTF-8, digits in the
-place of letters and codes (tools, lots, numbers) are undone or removed before terms are cut.
+labels, the descriptions of the subjects alone guide the topics. Markup, wrongly decoded UTF-8 and digits in the
+place of letters are undone where they stand, and codes (tools, lots, numbers) are no words.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from yieldloom.session import materialize
 
+#: Between these strings a text is cut; points, dashes and ends of lines stay with the words until _pieces().
+_GAPS = r"[^\p{L}\p{N}_.!?\n-]+"
+#: A code (word with a digit, name-number), or in group 1 a word of two letters and more or the end of a sentence.
+_PIECE = re.compile(r"\w*\d\w*(?:\.+\w+)*|[^\W\d_]+-\d[\w-]*|([^\W\d_]{2,}|[.!?]+$|\n)")
 _TAG = re.compile(r"<[^<>]*>")
-_MIXED = re.compile(r"(?<![\w-])(?=\w*[^\W\d_]\w*[^\W\d_])(?=\w*\d)\w+(?![\w-]*\d)")
-_CODE = re.compile(r"\w*\d[\w.:,]*|\b[^\W\d_]+-\d[\w-]*")
-_END = re.compile(r"[.!?]+(?:\s|$)|\n+")
-_WORD = re.compile(r"[^\W\d_]{2,}")
+_MIXED = re.compile(r"[^\W\d_]*(?:[^\W\d_]\d|\d[^\W\d_])\w*")
+#: Runs of characters that UTF-8 bytes of one letter or sign become when they are read as Windows-1252.
+_WRONG = re.compile("[\u00c2-\u00df][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]|[\u00e0-\u00ef][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{2}")
 #: Fixed value: digits that stand for letters in mistyped words.
 _DIGITS = str.maketrans("01345", "oleas")
 
 
-def sentences(text: str) -> Iterator[list[str]]:
-    """The terms of each sentence that has any: its words of two letters and more, and pairs of neighbours."""
-    if "Ã" in text or "â€" in text:
-        text = text.encode("cp1252", "ignore").decode("utf-8", "ignore")
-    text = html.unescape(_TAG.sub("\n", text)).lower()
-    text = _MIXED.sub(lambda m: m[0].translate(_DIGITS) if 2 * sum(c.isdigit() for c in m[0]) <= len(m[0]) else m[0], text)
-    for s in _END.split(text):
-        words = _WORD.findall(_CODE.sub(" ", s))
-        if words:
-            yield words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+def _decoded(m: re.Match) -> str:
+    """The letter whose bytes these are, or what stood there."""
+    try:
+        return m[0].encode("cp1252").decode("utf-8")
+    except UnicodeError:
+        return m[0]
+
+
+def repair(text: str) -> str:
+    """Markup taken out and wrongly decoded letters put right; everything else stays."""
+    text = _WRONG.sub(_decoded, text)
+    if "<" in text:
+        text = _TAG.sub("\n", text)
+    return html.unescape(text) if "&" in text else text
+
+
+def _letters(m: re.Match) -> str:
+    """A word of two letters and more with at most as many digits, its letters put back; parts of codes stay."""
+    word, digits = m[0], sum(c.isdigit() for c in m[0])
+    before, after = m.string[: m.start()], m.string[m.end() :]
+    if len(word) - digits < 2 or 2 * digits > len(word) or before.endswith("-") or re.match(r"-[\w-]*\d", after):
+        return word
+    return word.translate(_DIGITS)
+
+
+def _pieces(string: str) -> list[str]:
+    """The words and ends of sentences ("." for any) in one string without gaps, lower case."""
+    if any(c.isdigit() for c in string):
+        string = _MIXED.sub(_letters, string)
+    return [x if x[0].isalpha() else "." for x in _PIECE.findall(string) if x]
+
+
+class Cutter:
+    """Texts as numbers of words, as of this task; number 0 is the end of a sentence."""
+
+    def __init__(self, known: list[str] | None = None):
+        """known: the only words that have a number; others are -1."""
+        self.number = {w: i + 1 for i, w in enumerate(known or [])} | {".": 0}
+        self.closed = known is not None
+        self.pieces: dict[str, list[int]] = {}
+
+    def _of(self, string: str) -> list[int]:
+        if string not in self.pieces:
+            words = _pieces(string)
+            if len(self.pieces) > 500_000:
+                self.pieces.clear()
+            self.pieces[string] = [self.number.get(w, -1) if self.closed else self.number.setdefault(w, len(self.number)) for w in words]
+        return self.pieces[string]
+
+    def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all texts' words and sentence ends, one after another, and the row of each."""
+        odd = pc.fill_null(pc.match_substring_regex(texts, "[<&ÂÃâ]"), False)
+        if pc.any(odd).as_py():
+            texts = pc.replace_with_mask(texts, odd, pa.array([repair(t) for t in texts.filter(odd).to_pylist()], texts.type))
+        lists = pc.split_pattern_regex(pc.replace_substring(pc.utf8_lower(texts), "\n", " \n "), _GAPS)
+        coded = lists.flatten().dictionary_encode()
+        pieces = [self._of(s) for s in coded.dictionary.to_pylist()]
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        flat = np.array([x for p in pieces for x in p], np.int64)
+        first = np.cumsum(sizes) - sizes
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        many = sizes[index]
+        # Each string's pieces, put in the place of the string.
+        within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        row = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        return flat[np.repeat(first[index], many) + within], np.repeat(row, many)
 
 
 @dataclass(frozen=True)
 class SubjectConfig:
-    #: Share of the documents a term of the vocabulary must occur in, and least number of them.
+    #: Share of the documents a term of the vocabulary must occur in, and least number of them; most terms.
     min_share: float = 5e-4
     min_documents: int = 3
+    most_terms: int = 100_000
     general_topics: int = 8
     #: Most labelled documents that guide the start.
     labelled: int = 20_000
@@ -79,128 +142,177 @@ class SubjectConfig:
 class Topics:
     """The fitted model: bounded by vocabulary and number of topics."""
 
-    terms: list[str]
+    words: list[str]
+    pairs: np.ndarray  # of two words, first * len(words) + second; their terms follow those of the words
     subjects: list[str]
     counts: np.ndarray  # topics x terms
     labelled: np.ndarray  # subjects x terms
     subject_of: list[int] = field(default_factory=list)  # of each topic; -1: general
 
+    def term(self, i: int) -> str:
+        v = len(self.words)
+        return self.words[i] if i < v else f"{self.words[self.pairs[i - v] // v]} {self.words[self.pairs[i - v] % v]}"
+
     def weights(self, eta: float) -> np.ndarray:
         c = self.counts + eta
         return np.ascontiguousarray((c / c.sum(axis=1, keepdims=True)).T.astype(np.float32))
 
 
-def vocabulary(docs: DataFrame, text: str, c: SubjectConfig) -> list[str]:
-    """Terms of enough documents, sorted; document frequencies are counted over all documents."""
+def _frequent(df: DataFrame, term: str, least: float, most: int) -> DataFrame:
+    """Of rows of term and df, as tasks have counted them, the most frequent terms of enough documents."""
+    return df.groupBy(term).agg(F.sum("df").alias("df")).filter(F.col("df") >= least).orderBy(F.desc("df"), term).limit(most).select(term)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, n = Counter(), 0
-        for pdf in batches:
-            for t in pdf["text"]:
-                seen.update({x for s in sentences(t) for x in s})
-                n += 1
-            if len(seen) > 500_000:
-                yield pd.DataFrame({"term": list(seen), "df": list(seen.values())})
-                seen.clear()
-        yield pd.DataFrame({"term": [*seen, ""], "df": [*seen.values(), n]})
-
-    df = docs.select(F.col(text).alias("text")).mapInPandas(count, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    df = materialize(df, "frequencies")  # read twice below
-    total = F.broadcast(df.filter("term = ''").select(F.col("df").alias("n")))
-    least = F.greatest(F.lit(float(c.min_documents)), F.col("n") * c.min_share)
-    kept = df.filter("term <> ''").join(total, F.col("df") >= least)
-    return sorted(r.term for r in kept.select("term").collect())
-
-
-def encode(docs: DataFrame, id_col: str, text: str, terms: list[str]) -> DataFrame:
-    """id, terms (numbers of all sentences, one after another), ends (where each sentence ends)."""
-    ids = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = ids.value
-        for pdf in batches:
-            all_terms, all_ends = [], []
-            for t in pdf["text"]:
-                flat, ends = [], []
-                for s in sentences(t):
-                    flat += [number[x] for x in s if x in number]
-                    if len(flat) > (ends[-1] if ends else 0):
-                        ends.append(len(flat))
-                all_terms.append(np.array(flat, np.int32))
-                all_ends.append(np.array(ends, np.int32))
-            yield pd.DataFrame({"id": pdf["id"], "terms": all_terms, "ends": all_ends})
 
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"id {kind}, terms array<int>, ends array<int>")
+def vocabulary(docs: DataFrame, text: str, least: float, c: SubjectConfig) -> list[str]:
+    """Words of at least so many documents, sorted; document frequencies are counted over all documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, seen = Cutter(), np.zeros(0, np.int64)
 
+        def counted() -> pa.RecordBatch:
+            some = np.flatnonzero(seen[1:]) + 1
+            names = list(cutter.number)
+            return pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.string()), pa.array(seen[some])], names=["term", "df"])
 
-def _flatten(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Terms, the first term of each sentence and the row of each sentence."""
-    sizes = pdf["terms"].map(len).to_numpy()
-    terms = np.concatenate([np.empty(0, np.int32), *pdf["terms"]]).astype(np.int64)
-    base = np.r_[0, np.cumsum(sizes)[:-1]]
-    starts = [np.r_[0, e[:-1]] + b for e, b in zip(pdf["ends"], base) if len(e)]
-    row = np.repeat(np.arange(len(pdf)), pdf["ends"].map(len).to_numpy())
-    return terms, np.concatenate([np.empty(0, np.int64), *starts]).astype(np.int64), row
+        for batch in batches:
+            word, row = cutter.cut(batch.column(0))
+            pair = np.unique(row * len(cutter.number) + word)  # each word once a document
+            n = np.bincount(pair % len(cutter.number), minlength=len(cutter.number))
+            n[: len(seen)] += seen
+            seen = n
+            if len(seen) > 500_000:
+                yield counted()
+                cutter, seen = Cutter(), np.zeros(0, np.int64)
+        if len(seen):
+            yield counted()
+
+    df = docs.select(text).mapInArrow(count, "term string, df long")
+    return sorted(r.term for r in _frequent(df, "term", least, c.most_terms).collect())
+
+
+def encode(docs: DataFrame, id_col: str, text: str, words: list[str]) -> DataFrame:
+    """id, words (numbers of the words of all sentences, one after another; -1: not in the vocabulary), sizes (words of each sentence)."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter(shared.value)
+        for batch in batches:
+            word, row = cutter.cut(batch.column(1))
+            sentence = np.cumsum(word == 0) + row  # grows with every end and every document
+            keep = word != 0
+            word, row, sentence = np.where(word > 0, word - 1, -1)[keep], row[keep], sentence[keep]
+            new = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]]) if len(word) else np.empty(0, int)
+            lists = lambda rows, values: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(rows, minlength=batch.num_rows))].astype(np.int32)), pa.array(values.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists(row, word), lists(row[new], np.diff(np.r_[new, len(word)]))], names=["id", "words", "sizes"])
+
+    kind = dict(docs.dtypes)[id_col]
+    return docs.select(F.col(id_col).alias("id"), text).mapInArrow(run, f"id {kind}, words array<int>, sizes array<int>")
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, first word of each sentence, words of each sentence, and row of each sentence."""
+    words, sizes = (batch.column(x).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in ("words", "sizes"))
+    row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("sizes")).to_numpy(zero_copy_only=False))
+    return words, np.cumsum(sizes) - sizes, sizes, row
+
+
+def _neighbours(words: np.ndarray, starts: np.ndarray, v: int) -> np.ndarray:
+    """For each word the number of the pair with the one before it in its sentence; -1 if either is unknown or there is none."""
+    pair = np.r_[-1, np.where((words[1:] >= 0) & (words[:-1] >= 0), words[:-1] * v + words[1:], -1)][: len(words)]
+    pair[starts] = -1
+    return pair
+
+
+def pairs(encoded: DataFrame, v: int, least: float, c: SubjectConfig) -> np.ndarray:
+    """Pairs of neighbouring words in at least so many documents, as sorted numbers first * v + second."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = pd.Series(dtype=np.int64)
+        for batch in batches:
+            words, starts, sizes, row = _flat(batch)
+            pair = _neighbours(words, starts, v)
+            doc = np.repeat(row, sizes)
+            some = pair >= 0
+            once = np.unique(doc[some] * (v * v) + pair[some]) % (v * v)
+            code, n = np.unique(once, return_counts=True)
+            total = total.add(pd.Series(n, code), fill_value=0)
+            if len(total) > 1_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array(total.index.to_numpy(np.int64)), pa.array(total.to_numpy(np.int64))], names=["pair", "df"])
+                total = total.iloc[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(total.index.to_numpy(np.int64)), pa.array(total.to_numpy(np.int64))], names=["pair", "df"])
+
+    found = _frequent(encoded.mapInArrow(count, "pair long, df long"), "pair", least, c.most_terms).collect()
+    return np.array(sorted(r.pair for r in found), np.int64)
+
+
+def _parts(batch: pa.RecordBatch, known: np.ndarray, v: int, most: int = 12_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Terms (known words and, from v on, known pairs), first term and row of each sentence that has any, of about so many words at a
+    time: as much as a processor's cache holds, and long texts don't fill the memory."""
+    words, starts, sizes, row = _flat(batch)
+    pair = _neighbours(words, starts, v)
+    at = np.minimum(np.searchsorted(known, pair), max(0, len(known) - 1))
+    pair = np.where(known[at] == pair, at + v, -1) if len(known) else np.full(len(pair), -1)
+    both = np.empty(2 * len(words), np.int64)
+    both[0::2], both[1::2] = pair, words
+    keep = both >= 0
+    terms, sentence = both[keep], np.repeat(np.arange(len(starts)), 2 * sizes)[keep]
+    first = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]]) if len(terms) else np.empty(0, int)
+    of = row[sentence[first]]
+    cuts = np.flatnonzero(np.r_[True, np.diff(first // most) > 0]) if len(first) else []
+    for a, b in zip(cuts, [*cuts[1:], len(first)]):
+        lo, hi = first[a], first[b] if b < len(first) else len(terms)
+        yield terms[lo:hi], first[a:b] - lo, of[a:b]
 
 
 def infer(terms: np.ndarray, starts: np.ndarray, weights: np.ndarray, c: SubjectConfig, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """CVB0 over a batch of sentences: expected terms per sentence and topic, and the topics of each term."""
     w = weights[terms]
-    sizes = np.diff(np.r_[starts, len(terms)])
+    of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(terms)]))
     theta = np.full((len(starts), weights.shape[1]), c.alpha, np.float32)
-    if allowed is not None:
-        theta *= allowed
-    for _ in range(c.inner):
-        phi = w * np.repeat(theta, sizes, axis=0)
-        phi /= phi.sum(axis=1, keepdims=True) + 1e-30
-        got = np.add.reduceat(phi, starts, axis=0)
-        theta = got + np.float32(c.alpha)
+    for i in range(c.inner):
         if allowed is not None:
             theta *= allowed
-    return got, phi
-
-
-def _slices(batches: Iterator[pd.DataFrame], most: int = 200_000) -> Iterator[pd.DataFrame]:
-    """Parts of the batches with about so many terms, so that a few long texts don't fill the memory."""
-    for pdf in batches:
-        part = np.cumsum(pdf["terms"].map(len).to_numpy()) // most
-        for _, rows in pdf.groupby(part, sort=False):
-            yield rows.reset_index(drop=True)
-
-
-def _counts(encoded: DataFrame, weights: np.ndarray, c: SubjectConfig, subjects: int | None = None, count_only: bool = False) -> np.ndarray:
-    """Expected counts, topics x terms, over all sentences. With subjects, rows have labels (an array of subject
+        wide = theta[of]
+        share = np.float32(1) / (np.einsum("nk,nk->n", w, wide) + np.float32(1e-30))
+        got = theta * np.add.reduceat(w * share[:, None], starts, axis=0)
+        if i + 1 < c.inner:
+            theta = got + np.float32(c.alpha)
+    wide *= w
+    wide *= share[:, None]
+    return got, wide
+
+
+def _counts(encoded: DataFrame, known: tuple[np.ndarray, int], weights: np.ndarray, c: SubjectConfig, subjects: int | None = None, count_only: bool = False) -> np.ndarray:
+    """Expected counts, topics x terms, over all sentences; known: pairs and number of words. With subjects, rows have labels (an array of subject
     numbers) that limit the possible topics; count_only counts their subjects' sentences instead."""
     v, k = weights.shape
-    shared = encoded.sparkSession.sparkContext.broadcast(weights)
+    shared = encoded.sparkSession.sparkContext.broadcast((weights, *known))
     n = subjects if count_only else k
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((n, v))
-        for pdf in _slices(batches):
-            terms, starts, row = _flatten(pdf)
-            if not len(terms):
-                continue
-            allowed = None
+        weights, pairs_, words_ = shared.value
+        for batch in batches:
+            limits = None
             if subjects is not None:
-                allowed = np.zeros((len(pdf), k), np.float32)
-                allowed[:, subjects:] = 1
-                for i, labels in enumerate(pdf["labels"]):
-                    allowed[i, labels] = 1
-                allowed = allowed[row]
-            if count_only:
-                own = allowed[:, :subjects] / np.maximum(1, allowed[:, :subjects].sum(axis=1, keepdims=True))
-                phi = np.repeat(own, np.diff(np.r_[starts, len(terms)]), axis=0)
-            else:
-                _, phi = infer(terms, starts, shared.value, c, allowed)
-            for t in range(n):
-                total[t] += np.bincount(terms, phi[:, t], minlength=v)
+                limits = np.zeros((batch.num_rows, k), np.float32)
+                limits[:, subjects:] = 1
+                labels = batch.column("labels")
+                limits[np.repeat(np.arange(batch.num_rows), pc.list_value_length(labels).to_numpy(zero_copy_only=False)), labels.flatten().to_numpy(zero_copy_only=False)] = 1
+            for terms, starts, row in _parts(batch, pairs_, words_):
+                allowed = None if limits is None else limits[row]
+                if count_only:
+                    own = allowed[:, :subjects] / np.maximum(1, allowed[:, :subjects].sum(axis=1, keepdims=True))
+                    phi = np.repeat(own, np.diff(np.r_[starts, len(terms)]), axis=0)
+                else:
+                    _, phi = infer(terms, starts, weights, c, allowed)
+                for t in range(n):
+                    total[t] += np.bincount(terms, phi[:, t], minlength=v)
         used = np.flatnonzero(total.sum(axis=0) > 0)
-        yield pd.DataFrame(total[:, used].T, columns=[f"k{i}" for i in range(n)]).assign(term=used)
+        yield pa.RecordBatch.from_arrays([*(pa.array(total[i, used]) for i in range(n)), pa.array(used)], names=[*(f"k{i}" for i in range(n)), "term"])
 
     schema = ", ".join([*[f"k{i} double" for i in range(n)], "term long"])
-    found = encoded.mapInPandas(run, schema).groupBy("term").agg(*[F.sum(f"k{i}").alias(f"k{i}") for i in range(n)]).toPandas()
+    found = encoded.mapInArrow(run, schema).groupBy("term").agg(*[F.sum(f"k{i}").alias(f"k{i}") for i in range(n)]).toPandas()
     out = np.zeros((n, v))
     out[:, found["term"].to_numpy(np.int64)] = found[[f"k{i}" for i in range(n)]].to_numpy().T
     return out
@@ -231,26 +343,25 @@ def map_topics(t: Topics, c: SubjectConfig) -> list[int]:
     return out
 
 
-def fit(encoded: DataFrame, terms: list[str], labels: DataFrame, areas: DataFrame, c: SubjectConfig) -> Topics:
+def fit(encoded: DataFrame, words: list[str], pairs_: np.ndarray, labels: DataFrame, areas: DataFrame, c: SubjectConfig) -> Topics:
     """encoded as of encode(); labels: id, subject; areas: subject, description (as many rows as there are subjects)."""
-    known = sorted((r.subject, r.description or "") for r in areas.select("subject", "description").collect())
-    names = [s for s, _ in known]
+    described = sorted((r.subject, r.description or "") for r in areas.select("subject", "description").collect())
+    names = [s for s, _ in described]
     number = F.element_at(F.create_map(*[x for i, s in enumerate(names) for x in (F.lit(s), F.lit(i))]), F.col("subject"))
     per_doc = labels.withColumn("n", number).filter("n is not null and id is not null").groupBy("id").agg(F.array_sort(F.collect_set("n")).alias("labels"))
     sample = per_doc.orderBy(F.xxhash64("id"), "id").limit(c.labelled)
-    guide = materialize(encoded.join(sample, "id"), "guide")
-    k, v, s = len(names) + c.general_topics, len(terms), len(names)
-    labelled = _counts(guide, np.ones((v, k), np.float32), c, s, count_only=True)
-    number_of = {t: i for i, t in enumerate(terms)}
-    for i, (_, description) in enumerate(known):
-        for x in (x for sentence in sentences(description) for x in sentence if x in number_of):
-            labelled[i, number_of[x]] += 1
-    t = Topics(terms, names, _start(labelled, c), labelled)
+    guide = materialize(encoded.join(F.broadcast(sample), "id"), "guide")  # as many rows as the parameter says, at most
+    known = pairs_, len(words)
+    k, v, s = len(names) + c.general_topics, len(words) + len(pairs_), len(names)
+    labelled = _counts(guide, known, np.ones((v, k), np.float32), c, s, count_only=True)
+    word, row = Cutter(words).cut(pa.array([text for _, text in described], pa.string()))
+    np.add.at(labelled, (row[word > 0], word[word > 0] - 1), 1)
+    t = Topics(words, pairs_, names, _start(labelled, c), labelled)
     for _ in range(c.guided_rounds):
-        t.counts = _counts(guide, t.weights(c.eta), c, s)
+        t.counts = _counts(guide, known, t.weights(c.eta), c, s)
     guided = t.counts
     for _ in range(c.rounds):
-        t.counts = guided + _counts(encoded, t.weights(c.eta), c)
+        t.counts = guided + _counts(encoded, known, t.weights(c.eta), c)
     t.subject_of = map_topics(t, c)
     return t
 
@@ -258,32 +369,52 @@ def fit(encoded: DataFrame, terms: list[str], labels: DataFrame, areas: DataFram
 def document_subjects(encoded: DataFrame, t: Topics, c: SubjectConfig) -> DataFrame:
     """id, subject, treating (sentences of the subject), share; the subjects of each document."""
     of = np.array(t.subject_of)
-    shared = encoded.sparkSession.sparkContext.broadcast((t.weights(c.eta), (of[:, None] == np.arange(len(t.subjects))).astype(np.float32), t.subjects))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, to_subject, names = shared.value
-        for pdf in _slices(batches):
-            terms, starts, row = _flatten(pdf)
-            if not len(terms):
-                continue
-            got, _ = infer(terms, starts, weights, c)
-            subject = got @ to_subject
-            treats = subject.sum(axis=1) >= c.treats * got.sum(axis=1)
-            n = np.zeros((len(pdf), len(names)))
-            np.add.at(n, (row[treats], subject.argmax(axis=1)[treats]), 1)
+    shared = encoded.sparkSession.sparkContext.broadcast((t.weights(c.eta), (of[:, None] == np.arange(len(t.subjects))).astype(np.float32), t.subjects, t.pairs, len(t.words)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, to_subject, names, pairs_, words_ = shared.value
+        for batch in batches:
+            n = np.zeros((batch.num_rows, len(names)))
+            for terms, starts, row in _parts(batch, pairs_, words_):
+                got, _ = infer(terms, starts, weights, c)
+                subject = got @ to_subject
+                treats = subject.sum(axis=1) >= c.treats * got.sum(axis=1)
+                np.add.at(n, (row[treats], subject.argmax(axis=1)[treats]), 1)
             share = n / np.maximum(1, n.sum(axis=1, keepdims=True))
             rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1, kind="stable")
             i, j = np.nonzero((n > 0) & (share >= c.share - 1e-9) & (rank < c.most))
-            if len(i):
-                yield pd.DataFrame({"id": pdf["id"].to_numpy()[i], "subject": [names[x] for x in j], "treating": n[i, j].astype(np.int64), "share": share[i, j]})
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(i)), pa.array([names[x] for x in j], pa.string()), pa.array(n[i, j].astype(np.int64)), pa.array(share[i, j])],
+                names=["id", "subject", "treating", "share"])
 
     kind = dict(encoded.dtypes)["id"]
-    return encoded.mapInPandas(run, f"id {kind}, subject string, treating long, share double")
+    return encoded.mapInArrow(run, f"id {kind}, subject string, treating long, share double")
 
 
-def prepare(docs: DataFrame, id_col: str, text: str, labels: DataFrame, areas: DataFrame, c: SubjectConfig = SubjectConfig()) -> tuple[DataFrame, Topics]:
-    """The encoded documents, written once, and the topics fitted on them."""
+def prepare(
+    docs: DataFrame, id_col: str, text: str, labels: DataFrame, areas: DataFrame, c: SubjectConfig = SubjectConfig(),
+    write: Callable[[str, Callable[[], DataFrame]], DataFrame] = lambda name, make: materialize(make(), name),
+) -> tuple[DataFrame, Topics]:
+    """The encoded documents and the topics fitted on them, both written once; write(name, make) writes a table and gives it back."""
+    spark = docs.sparkSession
     docs = docs.filter(F.length(text) > 0)
-    terms = vocabulary(docs, text, c)
-    encoded = materialize(encode(docs, id_col, text, terms), "encoded")
-    return encoded, fit(encoded, terms, labels, areas, c)
+
+    def terms() -> DataFrame:
+        least = float(max(c.min_documents, docs.count() * c.min_share))
+        return spark.createDataFrame([(w, least) for w in vocabulary(docs, text, least, c)], "word string, least double")
+
+    found = write("vocabulary", terms).orderBy("word").collect()
+    words, least = [r.word for r in found], found[0].least if found else 0.0
+    encoded = write("encoded", lambda: encode(docs, id_col, text, words))
+    known = write("pairs", lambda: spark.createDataFrame([(int(p),) for p in pairs(encoded, len(words), least, c)], "pair long"))
+    pairs_ = np.array(sorted(r.pair for r in known.collect()), np.int64)
+
+    def fitted() -> DataFrame:
+        t = fit(encoded, words, pairs_, labels, areas, c)
+        return spark.createDataFrame([("subject", i, [0.0], s) for i, s in enumerate(t.subjects)] + [(kind, i, row.tolist(), "") for kind, m in (("topic", t.counts), ("labelled", t.labelled)) for i, row in enumerate(m)], "kind string, number int, weights array<double>, name string")
+
+    rows = sorted(write("topics", fitted).collect(), key=lambda r: r.number)
+    of = lambda kind: np.array([[*r.weights] for r in rows if r.kind == kind], float).reshape(sum(r.kind == kind for r in rows), len(words) + len(pairs_))
+    t = Topics(words, pairs_, [r.name for r in rows if r.kind == "subject"], of("topic"), of("labelled"))
+    t.subject_of = map_topics(t, c)
+    return encoded, t
