@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from yieldloom.llm import clusters
@@ -40,45 +41,65 @@ def sample(seed=0):
     return [(int(i), f"L{w % 2}", f"W{w}", float(x), float(y), "clash", 1) for i, (x, y, w) in zip(ids, points)]
 
 
-def run(spark, points, least=6, **more):
+def run(spark, points, least=6, partitions=None, names=True, **more):
     df = spark.createDataFrame(points, SCHEMA)
-    return clusters.cluster_points(df, ["lot", "waf"], "id", "x", "y", link=0.05, min_size=least, **more)
+    df = df.repartition(partitions) if partitions else df
+    return clusters.cluster(df, ["lot", "waf"], "id", "x", "y", clusters.ClusterConfig(link=0.05, min_size=least, **more), names).cache()
+
+
+def groups(found):
+    return {(r.group_id, r.id) for r in clusters.members(found).collect()}
 
 
 def test_groups_equal_brute_force_with_copies_and_unusable_rows(spark):
     points = sample()
     points += [(10_000 + p[0], *p[1:]) for p in points[:20]]
     points += [(20_000 + i, "L0", w, x, y, "", 0) for i, (w, x, y) in enumerate([(None, 0.0, 0.0), ("W0", None, 0.0), ("W0", float("nan"), 0.0), ("W0", 1.5, 0.0)])]
-    assert {(r.group_id, r.id) for r in run(spark, points).collect()} == brute(points, 0.05, 6)
+    want = brute(points, 0.05, 6)
+    assert groups(run(spark, points)) == want == groups(run(spark, points, names=False, batch=20, buffer=50, branch=2))
+
+
+def test_steps_just_above_the_link_join_nothing(spark):
+    rng = np.random.default_rng(7)
+    points = [(i, "L", "W", float(x), float(y), "", 0) for i, (x, y) in enumerate(rng.uniform(-0.6, 0.6, (500, 2)).round(3))]  # dense, with many gaps of one to two links
+    assert groups(run(spark, points)) == brute(points, 0.05, 6)
 
 
 def test_result_does_not_depend_on_partitions(spark):
-    df = spark.createDataFrame(sample(1), SCHEMA)
-    a, b = (clusters.cluster_points(df.repartition(n), ["lot", "waf"], "id", "x", "y", 0.05, 6) for n in (1, 7))
-    assert {(r.group_id, r.id) for r in a.collect()} == {(r.group_id, r.id) for r in b.collect()}
+    points = sample(1)
+    assert groups(run(spark, points, partitions=1)) == groups(run(spark, points, partitions=7)) == groups(run(spark, points, partitions=3, keep=1))
 
 
-def test_a_hot_wafer_and_small_batches(spark):
+def test_a_hot_wafer_leaves_tasks_as_summaries(spark):
     rng = np.random.default_rng(2)
     points = [(i, "L", "W", float(x), float(y), "", 0) for i, (x, y) in enumerate(rng.normal(0, 0.02, (20_000, 2)))] + [(30_000, "L", "W", 0.9, 0.9, "", 0)]
-    df = spark.createDataFrame(points, SCHEMA)
-    leaves = clusters.leaf_features(clusters.cells(df, ["lot", "waf"], "id", "x", "y", 0.05, -1, 1), ["lot", "waf"])
-    assert leaves.count() < 400
-    got = clusters.leaf_clusters(leaves, ["lot", "waf"], 0.05, batch_leaves=10)
-    assert sorted(r["count"] for r in got.groupBy("group_id").agg(F.max("size").alias("count")).collect()) == [1, 20_000]
-
-
-def test_ward_limit_keeps_neighbouring_blobs_apart(spark):
+    pdf = pd.DataFrame(points, columns=["id", "lot", "waf", "x", "y", "cx", "n"])[["id", "x", "y"]].assign(k1=1, k2=2)
+    f = clusters.features(pdf["id"].to_numpy(), pdf["x"].to_numpy(), pdf["y"].to_numpy())
+    order = np.argsort(clusters.curve(f["mx"], f["my"], -1, 1), kind="stable")
+    f = {k: v[order] for k, v in f.items()}
+    starts = clusters.absorb(np.zeros(len(order)), f, 0.025)
+    leaves = clusters.merged(f, starts)
+    assert len(starts) < 400 and leaves["n"].sum() == len(points) and (np.hypot(leaves["x1"] - leaves["x0"], leaves["y1"] - leaves["y0"]) <= 0.025).all()
+    found = run(spark, points, least=1, partitions=4)
+    assert sorted(r.size for r in found.filter(F.col("role") == clusters.GROUP).collect()) == [1, 20_000]
+    assert len(groups(found)) == 20_001
+    whole = found.filter(f"role = {clusters.GROUP} and size > 1").first()
+    xy = np.array([p[3:5] for p in points[:-1]])
+    assert np.allclose([whole.x, whole.y, whole.d2], [*xy.mean(axis=0), np.sqrt(((xy - xy.mean(axis=0)) ** 2).sum(axis=1).mean())])
+
+
+def test_wards_limit_decides_the_parts(spark):
     points = [(i, "L", "W", 0.0 if i < 50 else 0.045, 0.0, "", 0) for i in range(100)]
-    assert {r.size for r in run(spark, points).collect()} == {100}
-    assert {r.size for r in run(spark, points, limit=0.01).collect()} == {50}
+    sizes = lambda **more: sorted(r.size for r in clusters.parts(run(spark, points, **more), ["lot", "waf"]).collect())
+    assert sizes() == [50, 50] and sizes(limit=1.0) == [100]
+    assert {r.size for r in clusters.members(run(spark, points)).collect()} == {100}
 
 
 def test_typical_members_are_nearest_to_the_centroid_with_ties_by_id(spark):
     at = [(0.0, 0.0), (0.01, 0.0), (-0.01, 0.0), (0.0, 0.02), (0.0, -0.02), (0.0, 0.0)]
     points = [(i, "L", "W", x, y, "", 0) for i, (x, y) in enumerate(at)]
-    t = clusters.typical_members(run(spark, points), ["lot", "waf"]).first()
-    assert (t.group_id, t.size, list(t.typical)) == (0, 6, [0, 5, 1])
+    t = clusters.described(run(spark, points), ["lot", "waf"]).first()
+    assert (t.group_id, t.lot, t.waf, t.size, list(t.typical)) == (0, "L", "W", 6, [0, 5, 1])
 
 
 def test_empty_table(spark):

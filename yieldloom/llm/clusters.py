@@ -1,93 +1,155 @@
-"""Clusters of points in the plane, per space (here: per wafer), from mergeable cluster features.
-
-1. Cluster-feature trees. The leaf entry of a point is its cell of a fixed quadtree, so that a tree built
-   in one task and a tree built in another have the same leaves and merge by adding: a cluster feature is
-   (n, sum x, sum y, sum of squares) with the bounding box and the smallest id. Spark's partial aggregation
-   builds one tree per task and merges the leaf summaries, so a space with a third of all points leaves each
-   task as a bounded number of leaves, (extent / cell)**2 at most. Routing by cell instead of by order of
-   arrival makes the result independent of partitions and of retries.
-2. Ward agglomeration of the leaves of a space, along links: only clusters that have linked leaves merge,
-   those with the least Ward increase first, until no link is left or the least increase exceeds a limit.
-   Leaves are linked when their bounding boxes are at most `link` apart.
-3. One full pass assigns every point to the cluster of its leaf; the members nearest to a cluster's
-   centroid are its most typical ones.
-
-Why leaf links find the groups exactly: with a cell's diagonal of link / 2, two leaves whose boxes are within
-`link` hold points at most 2 * link apart, and two points within `link` lie in leaves whose boxes are. So
-every group whose members are chained by steps of at most `link`, and that is more than 2 * link away from
-everything else, is one cluster without a limit on Ward's increase. Where points lie between `link` and
-2 * link apart, they may be joined.
+"""Clusters of points in the plane, per space (here: per wafer), from mergeable cluster-feature trees.
+
+1. Each task builds a cluster-feature (CF) tree per space over the points it reads. A leaf entry is a CF: count, mean, sum of
+   squared deviations, bounding box and smallest id of points whose box has a diagonal of at most the threshold, half a
+   link. Points are taken in along a Z-curve: one is absorbed by its neighbour's entry as long as the threshold
+   holds. Inner nodes are the boxes of `branch` successive entries. Entries of more than `keep` points leave the task as
+   one summary, whatever the number of points; the points of small ones leave as they are.
+2. The summaries and points of a space are merged to one tree in the same way, entries being absorbed like points.
+   From there on a space costs as much as it has entries, which its area bounds per task.
+3. Leaves are linked when points of both are within `link`, found by descending the tree. Ward agglomeration merges
+   linked clusters, those with the least increase first, while the increase is at most `limit`: these compact clusters
+   are the parts. Parts with linked leaves make up a group.
+4. One pass assigns every point to the part and group of its leaf; the members nearest to a group's centroid
+   are its most typical ones.
+
+Groups are exact for points: two points are in one group if and only if a chain of steps of at most `link` joins them.
+Only a summary of more than `keep` points of one task stands for its box, so that a point up to link and threshold
+away from one of its points may be taken for linked.
 
 Nulls: rows without space or coordinates, or with coordinates that are NaN or out of bounds, are in no
 cluster. Repeated points are members of their own. Ties of distance go to the smaller id. An empty table
-gives no clusters. Other columns are ignored.
+gives no clusters. Other columns are ignored. Ids are whole numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from yieldloom.functions.columns import between
+from yieldloom.session import materialize
+
+#: Kinds of rows: points, summaries of entries, their members; results for groups and parts.
+POINT, ENTRY, MEMBER, GROUP, PART = range(5)
+
+
+@dataclass(frozen=True)
+class ClusterConfig:
+    link: float
+    min_size: int = 1
+    low: float = -1.0
+    high: float = 1.0
+    #: Largest increase of the squared deviations by a merge of parts; None: the square of the link.
+    limit: float | None = None
+    branch: int = 8
+    keep: int = 8
+    #: Points a task takes in before it passes its trees on, and entries of a batch of whole spaces.
+    buffer: int = 200_000
+    batch: int = 50_000
+
+
+CF = ["n", "mx", "my", "dev", "x0", "x1", "y0", "y1", "least"]
+
+
+def features(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Points as cluster features of one."""
+    return {"n": np.ones(len(x)), "mx": x, "my": y, "dev": np.zeros(len(x)), "x0": x, "x1": x, "y0": y, "y1": y, "least": ids}
+
+
+def merged(f: dict[str, np.ndarray], starts: np.ndarray) -> dict[str, np.ndarray]:
+    """Successive features added up, from each start to the next."""
+    n = np.add.reduceat(f["n"], starts)
+    of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(f["n"])]))
+    mx, my = (np.add.reduceat(f["n"] * f[c], starts) / n for c in ("mx", "my"))
+    moved = f["n"] * ((f["mx"] - mx[of]) ** 2 + (f["my"] - my[of]) ** 2)
+    low = {c: np.minimum.reduceat(f[c], starts) for c in ("x0", "y0", "least")}
+    return {"n": n, "mx": mx, "my": my, "dev": np.add.reduceat(f["dev"] + moved, starts), **low, **{c: np.maximum.reduceat(f[c], starts) for c in ("x1", "y1")}}
+
 
-BITS = 12  # of a cell's coordinate; a space has at most 2**BITS cells a side
-
-
-def cells(df: DataFrame, space: Sequence[str], id_col: str, x: str, y: str, link: float, low: float, high: float) -> DataFrame:
-    """The points that can be in a cluster, with the cell of their leaf: space columns, id, x, y, cx, cy."""
-    side = link / 2 / np.sqrt(2)
-    if (high - low) / side >= 2**BITS:
-        raise ValueError("link is too small for the extent")
-    known = between(x, low, high) & between(y, low, high)
-    for c in space:
-        known = known & F.col(c).isNotNull()
-    cell = lambda c: F.floor((F.col(c) - low) / side).cast("int")
-    return df.filter(known).select(*space, F.col(id_col).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"), cell(x).alias("cx"), cell(y).alias("cy"))
-
-
-def leaf_features(points: DataFrame, space: Sequence[str]) -> DataFrame:
-    """Merged leaf entries: one cluster feature per space and cell."""
-    return points.groupBy(*space, "cx", "cy").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") ** 2 + F.col("y") ** 2).alias("ss"),
-        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("id").alias("least"),
-    )
-
-
-def leaf_links(key: np.ndarray, x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray, link: float, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of leaves, sorted by key (space, cx, cy), whose boxes are at most link apart."""
-    a, b = [], []
-    n = len(key)
-    for dx in range(reach + 1):
-        for dy in range(-reach if dx else 1, reach + 1):
-            want = key + (dx << BITS) + dy
-            at = np.minimum(np.searchsorted(key, want), n - 1)
-            i = np.flatnonzero(key[at] == want)
-            j = at[i]
-            gx = np.maximum(0, np.maximum(x0[i] - x1[j], x0[j] - x1[i]))
-            gy = np.maximum(0, np.maximum(y0[i] - y1[j], y0[j] - y1[i]))
-            near = np.hypot(gx, gy) <= link * (1 + 1e-9)
-            a.append(i[near])
-            b.append(j[near])
-    return np.concatenate(a), np.concatenate(b)
-
-
-def ward(n: np.ndarray, sx: np.ndarray, sy: np.ndarray, a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
+def curve(x: np.ndarray, y: np.ndarray, low: float, high: float) -> np.ndarray:
+    """The place of each point on a Z-curve of 2**16 steps a side."""
+    out = np.zeros(len(x), np.int64)
+    for shift, v in enumerate((x, y)):
+        q = np.clip((v - low) / (high - low) * 65_535, 0, 65_535).astype(np.int64)
+        for bit in range(16):
+            out |= ((q >> bit) & 1) << (2 * bit + shift)
+    return out
+
+
+def absorb(space: np.ndarray, f: dict[str, np.ndarray], threshold: float) -> np.ndarray:
+    """Where the leaf entries begin, of features sorted by space and curve: neighbours are merged, pair by pair, in
+    rounds, as long as the box of both has a diagonal of at most the threshold."""
+    starts = np.arange(len(space))
+    while len(starts) > 1:
+        box = {c: (np.minimum if c in ("x0", "y0") else np.maximum).reduceat(f[c], starts) for c in ("x0", "y0", "x1", "y1")}
+        side = lambda lo, hi: np.maximum(box[hi][1:], box[hi][:-1]) - np.minimum(box[lo][1:], box[lo][:-1])
+        fits = (space[starts[1:]] == space[starts[:-1]]) & (np.hypot(side("x0", "x1"), side("y0", "y1")) <= threshold)
+        if not fits.any():
+            break
+        at = np.arange(len(fits))
+        run = np.maximum.accumulate(np.where(fits & ~np.r_[False, fits[:-1]], at, 0))
+        starts = np.delete(starts, np.flatnonzero(fits & ((at - run) % 2 == 0)) + 1)
+    return starts
+
+
+def _expand(a: np.ndarray, b: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs of a child of a and one of b, each pair of nodes once, and which pair (a, b) they come from."""
+    many = counts[a] * counts[b]
+    of = np.repeat(np.arange(len(a)), many)
+    k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    i, j = starts[a[of]] + k // counts[b[of]], starts[b[of]] + k % counts[b[of]]
+    once = (a[of] != b[of]) | (i <= j)
+    return i[once], j[once], of[once]
+
+
+def _near(f: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, link: float) -> np.ndarray:
+    gap = lambda lo, hi: np.maximum(0, np.maximum(f[lo][i] - f[hi][j], f[lo][j] - f[hi][i]))
+    return np.hypot(gap("x0", "x1"), gap("y0", "y1")) <= link * (1 + 1e-9)
+
+
+def leaf_links(space: np.ndarray, items: dict[str, np.ndarray], starts: np.ndarray, leaves: dict[str, np.ndarray], link: float, branch: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of leaves (a < b) of one space with items within link; starts: where the leaves' items begin."""
+    levels, at = [], space[starts]
+    nodes = leaves
+    while True:  # from the leaves up to one root a space
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        if len(first) == len(at):
+            break
+        rank = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
+        up = np.flatnonzero(rank % branch == 0)
+        levels.append((nodes, up, np.diff(np.r_[up, len(at)])))
+        nodes = {c: (np.minimum if c in ("x0", "y0") else np.maximum).reduceat(nodes[c], up) for c in ("x0", "x1", "y0", "y1")}
+        at = at[up]
+    a = b = np.arange(len(at))
+    for below, up, counts in reversed(levels):
+        a, b, _ = _expand(a, b, up, counts)
+        near = _near(below, a, b, link)
+        a, b = a[near], b[near]
+    a, b = a[a < b], b[a < b]
+    i, j, of = _expand(a, b, starts, np.diff(np.r_[starts, len(space)]))
+    sure = np.unique(of[_near(items, i, j, link)])
+    return a[sure], b[sure]
+
+
+def ward(f: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
     """Ward agglomeration along the links (a, b): the label of each leaf, the index of one leaf of its cluster.
 
     All pairs of clusters that are each other's cheapest neighbour merge in one round: Ward's increase never
     falls by merging others, so the order of such merges doesn't matter.
     """
+    n, mx, my = (f[c].astype(float).copy() for c in ("n", "mx", "my"))
     label = np.arange(len(n))
-    n, sx, sy = n.astype(float).copy(), sx.astype(float).copy(), sy.astype(float).copy()
     while len(a):
-        cost = n[a] * n[b] / (n[a] + n[b]) * ((sx[a] / n[a] - sx[b] / n[b]) ** 2 + (sy[a] / n[a] - sy[b] / n[b]) ** 2)
-        if np.isfinite(limit):
-            a, b, cost = (x[cost <= limit] for x in (a, b, cost))
-            if not len(a):
-                break
+        cost = n[a] * n[b] / (n[a] + n[b]) * ((mx[a] - mx[b]) ** 2 + (my[a] - my[b]) ** 2)
+        a, b, cost = (x[cost <= limit] for x in (a, b, cost))
+        if not len(a):
+            break
         # Equal costs: the pair with the smaller leaves first, so that some pair is always mutual.
         rank = np.empty(len(a), dtype=np.int64)
         rank[np.lexsort((b, a, cost))] = np.arange(len(a))
@@ -96,8 +158,10 @@ def ward(n: np.ndarray, sx: np.ndarray, sy: np.ndarray, a: np.ndarray, b: np.nda
         np.minimum.at(best, b, rank)
         merge = (best[a] == rank) & (best[b] == rank)
         into, gone = a[merge], b[merge]
-        for v in (n, sx, sy):
-            v[into] += v[gone]
+        both = n[into] + n[gone]
+        for m in (mx, my):
+            m[into] += (m[gone] - m[into]) * n[gone] / both
+        n[into] = both
         to = np.arange(len(n))
         to[gone] = into
         label = to[label]
@@ -108,69 +172,159 @@ def ward(n: np.ndarray, sx: np.ndarray, sy: np.ndarray, a: np.ndarray, b: np.nda
     return label
 
 
-def _agglomerate(space: Sequence[str], link: float, limit: float, batch_leaves: int):
-    side = link / 2 / np.sqrt(2)
-    reach = int(np.ceil(link / side)) + 1
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number of those joined by pairs (a, b), directly or over others, for each of n."""
+    label = np.arange(n)
+    while True:
+        least = label.copy()
+        np.minimum.at(least, label[a], label[b])
+        np.minimum.at(least, label[b], label[a])
+        least = least[label]
+        while (least[least] != least).any():
+            least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def _totals(f: dict[str, np.ndarray], label: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The features of each label, and which of them each feature belongs to."""
+    order = np.argsort(label, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(label[order]) != 0])
+    of = np.empty(len(label), np.int64)
+    of[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(label)]))
+    return merged({c: f[c][order] for c in CF}, starts), of
+
+
+def _trees(space: Sequence[str], c: ClusterConfig):
+    """Points in, in any order; summaries, points and members out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept, next_ = [], TaskContext.get().partitionId() << 33
+
+        def flush() -> pd.DataFrame:
+            nonlocal next_
+            pdf = pd.concat(kept, ignore_index=True)
+            kept.clear()
+            x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+            order = np.lexsort((curve(x, y, c.low, c.high), pdf["k2"], pdf["k1"]))
+            pdf = pdf.iloc[order]
+            code = pdf.groupby(["k1", "k2"], sort=False).ngroup().to_numpy()
+            f = features(pdf["id"].to_numpy(np.int64), x[order], y[order])
+            starts = absorb(code, f, c.link / 2)
+            size = np.diff(np.r_[starts, len(pdf)])
+            big = size > c.keep
+            leaf = np.where(big, next_ + np.cumsum(big), 0)
+            next_ += int(big.sum()) + 1
+            of = np.repeat(leaf, size)
+            pdf = pdf.assign(role=np.where(of > 0, MEMBER, POINT).astype(np.int32), leaf=of, n=1, dev=0.0, x0=pdf["x"], x1=pdf["x"], y0=pdf["y"], y1=pdf["y"])
+            if not big.any():
+                return pdf
+            whole = merged(f, starts)
+            top = pdf.iloc[starts[big]].assign(role=np.int32(ENTRY), leaf=leaf[big], id=whole["least"][big], n=whole["n"][big].astype(np.int64), x=whole["mx"][big], y=whole["my"][big], **{k: whole[k][big] for k in ("dev", "x0", "x1", "y0", "y1")})
+            return pd.concat([pdf, top], ignore_index=True)
+
+        for pdf in batches:
+            kept.append(pdf)
+            if sum(map(len, kept)) >= c.buffer:
+                yield flush()
+        if kept and sum(map(len, kept)):
+            yield flush()
+
+    return run
+
+
+def _agglomerate(space: Sequence[str], c: ClusterConfig):
+    """Rows of _trees sorted by space in; points, entries, groups and parts of groups of at least min_size out."""
+    limit = c.link**2 if c.limit is None else c.limit
 
     def batch(pdf: pd.DataFrame) -> pd.DataFrame:
-        code = pdf.groupby(list(space), sort=False).ngroup().to_numpy()
-        key = (code.astype(np.int64) << (2 * BITS + 2)) + ((pdf["cx"].to_numpy(np.int64) + 1) << BITS) + pdf["cy"].to_numpy(np.int64)
-        order = np.argsort(key, kind="stable")
-        pdf, key = pdf.iloc[order], key[order]
-        n, sx, sy = (pdf[c].to_numpy() for c in ("n", "sx", "sy"))
-        a, b = leaf_links(key, *(pdf[c].to_numpy() for c in ("x0", "x1", "y0", "y1")), link, reach)
-        label = ward(n, sx, sy, a, b, limit)
-        g = pd.DataFrame({"label": label, "n": n, "sx": sx, "sy": sy, "ss": pdf["ss"].to_numpy(), "least": pdf["least"].to_numpy()})
-        total = g.groupby("label").agg(size=("n", "sum"), sx=("sx", "sum"), sy=("sy", "sum"), ss=("ss", "sum"), group_id=("least", "min")).loc[label]
-        out = pdf[[*space, "cx", "cy"]].copy()
-        out["group_id"], out["size"] = total["group_id"].to_numpy(), total["size"].to_numpy()
-        out["gx"], out["gy"] = (total["sx"] / total["size"]).to_numpy(), (total["sy"] / total["size"]).to_numpy()
-        out["radius"] = np.sqrt(np.maximum(0, total["ss"] / total["size"] - (total["sx"] / total["size"]) ** 2 - (total["sy"] / total["size"]) ** 2)).to_numpy()
-        return out
+        order = np.lexsort((pdf["id"], curve(pdf["x"].to_numpy(), pdf["y"].to_numpy(), c.low, c.high), pdf["k2"], pdf["k1"]))
+        pdf = pdf.iloc[order]
+        code = pdf.groupby(["k1", "k2"], sort=False).ngroup().to_numpy()
+        items = {k: pdf[v].to_numpy() for k, v in zip(CF, ("n", "x", "y", "dev", "x0", "x1", "y0", "y1", "id"))}
+        items["n"] = items["n"].astype(float)
+        starts = absorb(code, items, c.link / 2)
+        leaves = merged(items, starts)
+        a, b = leaf_links(code, items, starts, leaves, c.link, c.branch)
+        part = ward(leaves, a, b, limit)
+        group = joined(len(starts), part[a], part[b])[part]
+        groups, g = _totals(leaves, group)
+        parts, p = _totals(leaves, part)
+        item = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(pdf)]))
+        g, p, home = g[item], p[item], [x for x in space if x in pdf]
+        kept = groups["n"][g] >= c.min_size
+        entry = (pdf["role"] == ENTRY).to_numpy()
+        d2 = (items["mx"] - groups["mx"][g]) ** 2 + (items["my"] - groups["my"][g]) ** 2
+        rows = pdf[["role", *home]].assign(
+            id=np.where(entry, pdf["leaf"], pdf["id"]), group_id=groups["least"][g], part=parts["least"][p], size=groups["n"][g].astype(np.int64),
+            x=np.where(entry, groups["mx"][g], items["mx"]), y=np.where(entry, groups["my"][g], items["my"]), d2=d2)[kept]
+
+        def totals(role: int, t: dict, of: np.ndarray) -> pd.DataFrame:
+            _, first = np.unique(of[kept], return_index=True)
+            i = of[kept][first]
+            return rows.iloc[first].assign(role=np.int32(role), id=t["least"][i], size=t["n"][i].astype(np.int64), x=t["mx"][i], y=t["my"][i], d2=np.sqrt(t["dev"][i] / t["n"][i]))
+
+        return pd.concat([rows, totals(GROUP, groups, g), totals(PART, parts, p)], ignore_index=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Sorted leaves, many spaces at a time; only whole spaces, each of which has a bounded number of leaves."""
+        """Many spaces at a time, only whole ones."""
         kept: list[pd.DataFrame] = []
         for pdf in batches:
             kept.append(pdf)
-            if sum(map(len, kept)) < batch_leaves:
+            if sum(map(len, kept)) < c.batch:
                 continue
             all_ = pd.concat(kept, ignore_index=True)
-            last = (all_[list(space)] == all_[list(space)].iloc[-1]).all(axis=1)
+            last = ((all_["k1"] == all_["k1"].iloc[-1]) & (all_["k2"] == all_["k2"].iloc[-1])).to_numpy()
             if not last.all():
                 yield batch(all_[~last])
-                all_ = all_[last]
-            kept = [all_]
+            kept = [all_[last]] if not last.all() else [all_]
         if kept and sum(map(len, kept)):
             yield batch(pd.concat(kept, ignore_index=True))
 
     return run
 
 
-def leaf_clusters(leaves: DataFrame, space: Sequence[str], link: float, limit: float = float("inf"), batch_leaves: int = 50_000) -> DataFrame:
-    """Space, cx, cy of each leaf with its cluster: group_id (smallest id), size, centroid gx, gy, radius."""
-    kinds = dict(leaves.dtypes)
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in space], "cx int", "cy int", f"group_id {kinds['least']}", "size long", "gx double", "gy double", "radius double"])
-    ordered = leaves.repartition(*space).sortWithinPartitions(*space)
-    return ordered.mapInPandas(_agglomerate(space, link, limit, batch_leaves), schema)
-
-
-def cluster_points(
-    df: DataFrame, space: Sequence[str], id_col: str, x: str, y: str, link: float, min_size: int = 1,
-    low: float = -1.0, high: float = 1.0, limit: float = float("inf"),
-) -> DataFrame:
-    """Every point in a cluster of at least min_size: space columns, id, x, y, group_id, size, gx, gy, radius."""
-    points = cells(df, space, id_col, x, y, link, low, high)
-    found = leaf_clusters(leaf_features(points, space), space, link, limit).filter(F.col("size") >= min_size)
-    return points.join(found, [*space, "cx", "cy"]).drop("cx", "cy")
-
-
-def typical_members(members: DataFrame, space: Sequence[str], count: int = 3) -> DataFrame:
-    """One row per cluster: its size, centroid, radius and the ids of the members nearest to the centroid."""
-    d2 = F.round((F.col("x") - F.col("gx")) ** 2 + (F.col("y") - F.col("gy")) ** 2, 12)  # the order of summing decides no tie
-    w = W.partitionBy("group_id").orderBy("d2", "id")
-    near = members.withColumn("d2", d2).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= count)
-    return near.groupBy("group_id").agg(
-        *[F.min(c).alias(c) for c in space], F.min("size").alias("size"), F.min("gx").alias("center_x"), F.min("gy").alias("center_y"), F.min("radius").alias("radius"),
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda m: m["id"]).alias("typical"),
-    )
+def cluster(df: DataFrame, space: Sequence[str], id_col: str, x: str, y: str, c: ClusterConfig, names: bool = True) -> DataFrame:
+    """Rows of roles POINT (id, group_id, part, size of the group, d2 to its centroid), GROUP (id, size, x, y, d2: radius) and PART
+    (id, group_id, size, x, y, d2: radius), written once. names: whether the space columns come along; where they aren't needed they
+    aren't moved, a space being known by a hash of 128 bits."""
+    known = between(x, c.low, c.high) & between(y, c.low, c.high)
+    for s in space:
+        known = known & F.col(s).isNotNull()
+    key = [F.xxhash64(*space).alias("k1"), F.xxhash64(F.lit("second"), *space).alias("k2")]
+    home = list(space) if names else []
+    points = df.filter(known).select(*home, *key, F.col(id_col).cast("long").alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    kinds = "".join(f"`{s}` {t}, " for s, t in points.select(*home).dtypes)
+    trees = points.mapInPandas(_trees(home, c), f"{kinds}k1 long, k2 long, id long, x double, y double, role int, leaf long, n long, dev double, x0 double, x1 double, y0 double, y1 double")
+    trees = materialize(trees, "trees")
+    moved = trees.filter(F.col("role") != MEMBER).repartition("k1", "k2").sortWithinPartitions("k1", "k2")
+    found = materialize(moved.mapInPandas(_agglomerate(home, c), f"role int, {kinds}id long, group_id long, part long, size long, x double, y double, d2 double"), "clusters")
+    entries = found.filter(F.col("role") == ENTRY).select(F.col("id").alias("leaf"), *home, "group_id", "part", "size", F.col("x").alias("gx"), F.col("y").alias("gy"))
+    members = trees.filter(F.col("role") == MEMBER).select("leaf", "id", "x", "y").join(entries, "leaf")
+    d2 = (F.col("x") - F.col("gx")) ** 2 + (F.col("y") - F.col("gy")) ** 2
+    members = members.select(F.lit(POINT).alias("role"), *home, "id", "group_id", "part", "size", "x", "y", d2.alias("d2"))
+    return found.filter(F.col("role") != ENTRY).select(members.columns).unionByName(members)
+
+
+def members(found: DataFrame) -> DataFrame:
+    """Every point in a group: id, group_id, part, size, d2 and, if they came along, the space columns."""
+    return found.filter(F.col("role") == POINT).drop("role", "x", "y")
+
+
+def _typical(found: DataFrame, by: str, d2, count: int) -> DataFrame:
+    # Spark keeps the best of each task before it moves rows, so a group of any size costs little.
+    w = W.partitionBy(by).orderBy(F.round(d2, 12), "id")  # the order of summing decides no tie
+    near = found.filter(F.col("role") == POINT).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= count)
+    return near.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda m: m["id"]).alias("typical"))
+
+
+def described(found: DataFrame, space: Sequence[str], count: int = 3) -> DataFrame:
+    """One row per group: its size, centroid, radius and the ids of the members nearest to the centroid."""
+    groups = found.filter(F.col("role") == GROUP).select("group_id", *space, "size", F.col("x").alias("center_x"), F.col("y").alias("center_y"), F.col("d2").alias("radius"))
+    return groups.join(_typical(found, "group_id", F.col("d2"), count), "group_id")
+
+
+def parts(found: DataFrame, space: Sequence[str]) -> DataFrame:
+    """One row per part, the compact clusters that Ward's limit leaves of a group: group_id, part (smallest id), size, centroid, radius."""
+    return found.filter(F.col("role") == PART).select("group_id", "part", *space, "size", F.col("x").alias("center_x"), F.col("y").alias("center_y"), F.col("d2").alias("radius"))

@@ -12,18 +12,28 @@ from yieldloom.sources.tables import state_of, table
 WAFER = ["lot_id", "wafer_id"]
 
 
-def _members(spark: SparkSession, d: str, min_size: int) -> DataFrame:
-    return clusters.cluster_points(table(spark, d, "defects"), WAFER, "id", "x", "y", link=0.05, min_size=min_size)
+def _clusters(spark: SparkSession, d: str, names: bool) -> DataFrame:
+    return clusters.cluster(table(spark, d, "defects"), WAFER, "id", "x", "y", clusters.ClusterConfig(link=0.05, min_size=6), names)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _members(spark, d, 6).select("group_id", "id")
+    return clusters.members(_clusters(spark, d, False)).select("group_id", "id")
+
+
+def _place(c: str):
+    """Six places; 1e-9 decides means that lie just between two of them."""
+    return F.round(F.col(c) + 1e-9, 6).alias(c)
 
 
 def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Groups of six and more with size, centre, radius and their three most typical defects."""
-    t = clusters.typical_members(_members(spark, d, 6), WAFER)
-    return t.select("group_id", *WAFER, "size", F.round("center_x", 6).alias("center_x"), F.round("center_y", 6).alias("center_y"), F.round("radius", 6).alias("radius"), F.concat_ws(" ", "typical").alias("typical"))
+    t = clusters.described(_clusters(spark, d, True), WAFER)
+    return t.select("group_id", *WAFER, "size", _place("center_x"), _place("center_y"), _place("radius"), F.concat_ws(" ", "typical").alias("typical"))
+
+
+def p2_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The compact parts of the groups, as Ward's limit leaves them."""
+    return clusters.parts(_clusters(spark, d, True), WAFER)
 
 
 PERCENTILES = [0.1, 1.0, 5.0, 25.0, 50.0, 75.0, 95.0, 99.0, 99.9]
@@ -136,7 +146,7 @@ def p9_make_up(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_clusters": p2_clusters, "p3_daily": p3_daily, "p3_percentiles": p3_percentiles, "p3_rank_check": p3_rank_check,
+    "p2_found": p2_found, "p2_clusters": p2_clusters, "p2_parts": p2_parts, "p3_daily": p3_daily, "p3_percentiles": p3_percentiles, "p3_rank_check": p3_rank_check,
     "p4_found": p4_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_subjects": p9_subjects, "p9_topics": p9_topics, "p9_make_up": p9_make_up,
 }
@@ -158,11 +168,10 @@ ORACLE = {
     "p2_found": _REACH + "SELECT group_id, id FROM grp WHERE size >= 6",
     "p2_clusters": _REACH + """,
 mem AS (SELECT g.group_id, g.size, p.* FROM grp g JOIN pts p USING (id) WHERE g.size >= 6),
-cen AS (SELECT group_id, avg(x) AS cx, avg(y) AS cy, avg(x * x + y * y) AS ss FROM mem GROUP BY group_id),
+cen AS (SELECT group_id, avg(x) AS cx, avg(y) AS cy FROM mem GROUP BY group_id),
 near AS (
-  SELECT m.*, cx, cy, ss, row_number() OVER (PARTITION BY group_id ORDER BY round((x - cx) * (x - cx) + (y - cy) * (y - cy), 12), id) AS k FROM mem m JOIN cen USING (group_id))
-SELECT group_id, min(lot_id) AS lot_id, min(wafer_id) AS wafer_id, min(size) AS size, round(min(cx), 6) AS center_x, round(min(cy), 6) AS center_y,
-       round(sqrt(greatest(min(ss) - min(cx) * min(cx) - min(cy) * min(cy), 0)), 6) AS radius, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY k) AS typical
+  SELECT m.*, cx, cy, avg((x - cx) * (x - cx) + (y - cy) * (y - cy)) OVER (PARTITION BY group_id) AS r2, row_number() OVER (PARTITION BY group_id ORDER BY round((x - cx) * (x - cx) + (y - cy) * (y - cy), 12), id) AS k FROM mem m JOIN cen USING (group_id))
+SELECT group_id, min(lot_id) AS lot_id, min(wafer_id) AS wafer_id, min(size) AS size, round(min(cx) + 1e-9, 6) AS center_x, round(min(cy) + 1e-9, 6) AS center_y, round(sqrt(min(r2)) + 1e-9, 6) AS radius, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY k) AS typical
 FROM near WHERE k <= 3 GROUP BY group_id""",
     "p3_rank_check": f"""
 SELECT tool_id, parameter_name, pct, n, TRUE AS within FROM (
