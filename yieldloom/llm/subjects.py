@@ -245,9 +245,9 @@ def pairs(encoded: DataFrame, v: int, least: float, c: SubjectConfig) -> np.ndar
     return np.array(sorted(r.pair for r in found), np.int64)
 
 
-def _parts(batch: pa.RecordBatch, known: np.ndarray, v: int, most: int = 12_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _parts(batch: pa.RecordBatch, known: np.ndarray, v: int, most: int = 60_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Terms (known words and, from v on, known pairs), first term and row of each sentence that has any, of about so many words at a
-    time: as much as a processor's cache holds, and long texts don't fill the memory."""
+    time, so that long texts don't fill the memory."""
     words, starts, sizes, row = _flat(batch)
     pair = _neighbours(words, starts, v)
     at = np.minimum(np.searchsorted(known, pair), max(0, len(known) - 1))
@@ -264,22 +264,32 @@ def _parts(batch: pa.RecordBatch, known: np.ndarray, v: int, most: int = 12_000)
         yield terms[lo:hi], first[a:b] - lo, of[a:b]
 
 
-def infer(terms: np.ndarray, starts: np.ndarray, weights: np.ndarray, c: SubjectConfig, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """CVB0 over a batch of sentences: expected terms per sentence and topic, and the topics of each term."""
-    w = weights[terms]
-    of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(terms)]))
-    theta = np.full((len(starts), weights.shape[1]), c.alpha, np.float32)
-    for i in range(c.inner):
-        if allowed is not None:
-            theta *= allowed
-        wide = theta[of]
-        share = np.float32(1) / (np.einsum("nk,nk->n", w, wide) + np.float32(1e-30))
-        got = theta * np.add.reduceat(w * share[:, None], starts, axis=0)
-        if i + 1 < c.inner:
-            theta = got + np.float32(c.alpha)
-    wide *= w
-    wide *= share[:, None]
-    return got, wide
+def infer(terms: np.ndarray, starts: np.ndarray, weights: np.ndarray, c: SubjectConfig, allowed: np.ndarray | None = None, each: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """CVB0 over a batch of sentences: expected terms per sentence and topic, and (each) the topics of each term.
+
+    Sentences of the same length are inferred together, as one dense array.
+    """
+    sizes = np.diff(np.r_[starts, len(terms)])
+    got = np.empty((len(starts), weights.shape[1]), np.float32)
+    phi = np.empty((len(terms) if each else 0, weights.shape[1]), np.float32)
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        at = starts[rows][:, None] + np.arange(size)
+        w = weights[terms[at]]
+        theta = np.full((len(rows), weights.shape[1]), c.alpha, np.float32)
+        for i in range(c.inner):
+            if i:
+                theta = now + np.float32(c.alpha)
+            if allowed is not None:
+                theta *= allowed[rows]
+            share = np.float32(1) / (np.einsum("slk,sk->sl", w, theta) + np.float32(1e-30))
+            now = theta * np.einsum("slk,sl->sk", w, share)
+        got[rows] = now
+        if each:
+            w *= theta[:, None, :]
+            w *= share[:, :, None]
+            phi[at.ravel()] = w.reshape(-1, weights.shape[1])
+    return got, phi
 
 
 def _counts(encoded: DataFrame, known: tuple[np.ndarray, int], weights: np.ndarray, c: SubjectConfig, subjects: int | None = None, count_only: bool = False) -> np.ndarray:
@@ -376,7 +386,7 @@ def document_subjects(encoded: DataFrame, t: Topics, c: SubjectConfig) -> DataFr
         for batch in batches:
             n = np.zeros((batch.num_rows, len(names)))
             for terms, starts, row in _parts(batch, pairs_, words_):
-                got, _ = infer(terms, starts, weights, c)
+                got, _ = infer(terms, starts, weights, c, each=False)
                 subject = got @ to_subject
                 treats = subject.sum(axis=1) >= c.treats * got.sum(axis=1)
                 np.add.at(n, (row[treats], subject.argmax(axis=1)[treats]), 1)
