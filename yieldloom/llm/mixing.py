@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from yieldloom.operators.lots import small
 from yieldloom.session import materialize
 
 
@@ -35,7 +36,7 @@ def ranked(items: DataFrame, partitions: int | None = None) -> DataFrame:
     # One row per source and partition.
     runs = placed.groupBy("source", "part").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("rows"))
     before = F.coalesce(F.sum("rows").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    runs = runs.select("source", "part", "first", before.alias("before"))
+    runs = small(materialize(runs.select("source", "part", "first", before.alias("before")), "runs"))
     return placed.join(runs, ["source", "part"]).select("source", "id", "size", (F.col("place") - F.col("first") + F.col("before") + 1).alias("rank"))
 
 

@@ -210,3 +210,28 @@ def percentiles(states: DataFrame, keys: Sequence[str], at: Sequence[float], k:
     kinds = dict(states.dtypes)
     schema = ", ".join([*[f"`{x}` {kinds[x]}" for x in keys], "n long", "pct double", "value double", "rank_error double"])
     return states.select(*keys, "n", "low", "high").mapInPandas(run, schema)
+
+
+def brackets(states: DataFrame, keys: Sequence[str], at: Sequence[float], k: int = K) -> DataFrame:
+    """Key columns, n, pct, low, high: values between which the exact percentile lies, two stated errors of rank to each side."""
+    shares = np.array(at) / 100
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            low, high = [], []
+            for a, b in zip(pdf["low"], pdf["high"]):
+                below, above = Compactors.from_bytes(a), Compactors.from_bytes(b)
+                n = below.n
+                want = np.maximum(1, np.ceil(shares * n - 1e-9))
+                reach = 2 * rank_error(k) * np.minimum(want, n + 1 - want) + 1
+                value = lambda rank: np.where(rank <= n / 2, below.quantiles(rank / n), -above.quantiles((n + 1 - rank) / n))  # noqa: B023, E731
+                low.append(value(np.maximum(1, want - reach)))
+                high.append(value(np.minimum(n, want + reach)))
+            out = pdf[[*keys, "n"]].loc[pdf.index.repeat(len(shares))].reset_index(drop=True)
+            yield out.assign(pct=np.tile(np.array(at, float), len(pdf)), low=np.concatenate(low), high=np.concatenate(high))
+
+    kinds = dict(states.dtypes)
+    schema = ", ".join([*[f"`{x}` {kinds[x]}" for x in keys], "n long, pct double, low double, high double"])
+    return states.select(*keys, "n", "low", "high").mapInPandas(run, schema)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from yieldloom.functions.columns import between, canonical
 from yieldloom.llm import clusters, mixing, packing, percentiles, subjects, tokens, topn
+from yieldloom.operators.lots import small
 from yieldloom.session import kept, materialize
 from yieldloom.sources.tables import state_of, table
 
@@ -53,11 +54,30 @@ def p3_daily(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of every source on each day, and (day null) those of all days, combined from the days' kept states."""
     steps, keys = table(spark, d, "process_steps"), {"day": F.to_date("timestamp"), **_source()}
     states = percentiles.merge_sketches(percentiles.build_sketches(steps, keys, F.col("value")), list(keys), steps.rdd.getNumPartitions())
-    days = materialize(states.withColumn("part", F.lit(0)), "days")
-    total = percentiles.merge_sketches(days, list(_source())).withColumn("day", F.lit(None).cast("date"))
+    # Days are spread over 256 parts, so that those of a source are merged as a tree, 16 at a time.
+    days = materialize(states.withColumn("part", F.pmod(F.unix_date("day"), F.lit(256)).cast("int")), "days")
+    total = percentiles.merge_sketches(days, list(_source()), parts=256, fan=16).withColumn("day", F.lit(None).cast("date"))
     return percentiles.percentiles(days.unionByName(total), list(keys), PERCENTILES)
 
 
+def p3_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The exact percentiles, found by the sketches: of all values only those in the bracket around a wanted rank are kept apart.
+
+    A bracket is twice the stated error wide on each side; in the one of about a billion cases in which it misses, the value is null.
+    """
+    steps = table(spark, d, "process_steps")
+    states = percentiles.merge_sketches(percentiles.build_sketches(steps, _source(), F.col("value")), list(_source()), steps.rdd.getNumPartitions())
+    keys = ["tool_id", "parameter_name"]
+    brackets = materialize(percentiles.brackets(states, keys, PERCENTILES).groupBy(*keys).agg(F.collect_list(F.struct("pct", "n", "low", "high")).alias("b")), "brackets")
+    v = F.col("value")
+    rows = steps.select(*[c.alias(k) for k, c in _source().items()], v.alias("v")).filter(v.isNotNull() & ~F.isnan(v)).join(small(brackets), keys)
+    rows = rows.select(*keys, "v", F.explode(F.filter("b", lambda b: F.col("v") <= b["high"])).alias("b"))
+    counts = rows.groupBy(*keys, "b.pct", "b.n", F.when(F.col("v") >= F.col("b.low"), F.col("v")).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
+    upto = F.sum("rows").over(W.partitionBy(*keys, "pct").orderBy(F.asc_nulls_first("value")))  # over the different values of a bracket
+    first = counts.withColumn("upto", upto).filter(F.col("upto") >= F.greatest(F.lit(1.0), F.ceil(F.col("pct") / 100 * F.col("n") - 1e-9)))
+    return first.groupBy(*keys, "pct", "n").agg(F.min_by("value", "upto").alias("value"))
+
+
 def p3_rank_check(spark: SparkSession, d: str) -> DataFrame:
     """Each estimate held against exact counts over the whole table: whether its rank is within the stated error."""
     est = p3_percentiles(spark, d).groupBy("tool_id", "parameter_name").agg(F.array_sort(F.collect_list(F.struct("pct", "value", "n", "rank_error"))).alias("e"))
@@ -102,6 +122,29 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("pieces").agg(F.count(F.lit(1)).alias("containers"), F.sum("n_tokens").alias("n_tokens"), F.min("n_tokens").alias("least"), F.avg(F.col("n_tokens") / CAPACITY).alias("fill"))
 
 
+def _characters(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    return table(spark, d, "documents").filter(F.length("text") > 0).select(F.col("doc_id").alias("id"), *keep, F.length("text").cast("long").alias("size"))
+
+
+def p7_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Packing by characters, into containers of 4,096: per document its pieces, their sum and the longest, and whether all of their containers hold."""
+    t = materialize(packing.pack(_characters(spark, d), 4096), "packed_documents")
+    fill = t.groupBy("container").agg(F.sum("size").alias("fill"))
+    return t.join(fill, "container").groupBy(F.col("id").alias("doc_id")).agg(
+        F.count(F.lit(1)).alias("pieces"), F.sum("size").alias("n_chars"), F.max("size").alias("longest"), (F.max("fill") <= 4096).alias("within"))
+
+
+def p8_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Mixing by characters: per document its rank in its source, its expected copies, and whether it has these, rounded down or up."""
+    items, weights = materialize(_characters(spark, d, "source"), "lengths"), table(spark, d, "source_weights")
+    r = materialize(mixing.ranked(items), "ranks")
+    plan = F.broadcast(mixing.copies_plan(r, weights).select("source", "expected", "max_repeats"))  # one row per source of the weights
+    got = mixing.mix(items, weights).groupBy("source", "id").agg(F.max("copy").alias("copies"))
+    t = r.join(plan, "source").join(got, ["source", "id"], "left").fillna(0, ["copies"])
+    kept_ = (F.col("copies") >= F.floor("expected")) & (F.col("copies") <= F.ceil("expected")) & (F.col("copies") <= F.col("max_repeats"))
+    return t.select("source", F.col("id").alias("doc_id"), F.col("size").alias("n_chars"), "rank", F.round("expected", 6).alias("expected"), kept_.alias("kept"))
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     lengths = materialize(_lengths(spark, d, source="source"), "lengths")  # read twice: range partitioning samples its input
     t = mixing.mix(lengths, table(spark, d, "source_weights"))
@@ -146,8 +189,8 @@ def p9_make_up(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_clusters": p2_clusters, "p2_parts": p2_parts, "p3_daily": p3_daily, "p3_percentiles": p3_percentiles, "p3_rank_check": p3_rank_check,
-    "p4_found": p4_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p2_found": p2_found, "p2_clusters": p2_clusters, "p2_parts": p2_parts, "p3_daily": p3_daily, "p3_percentiles": p3_percentiles, "p3_rank_check": p3_rank_check, "p3_exact": p3_exact,
+    "p4_found": p4_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p7_documents": p7_documents, "p8_copies": p8_copies,
     "p9_found": p9_found, "p9_subjects": p9_subjects, "p9_topics": p9_topics, "p9_make_up": p9_make_up,
 }
 
@@ -178,6 +221,21 @@ SELECT tool_id, parameter_name, pct, n, TRUE AS within FROM (
   SELECT upper(trim(tool_id)) AS tool_id, parameter_name, count(*) AS n FROM process_steps
   WHERE tool_id IS NOT NULL AND parameter_name IS NOT NULL AND value IS NOT NULL AND NOT isnan(value) GROUP BY ALL),
   (SELECT CAST(p AS DOUBLE) AS pct FROM (VALUES {_PCT}) v(p))""",
+    "p3_exact": f"""
+SELECT tool_id, parameter_name, pct, n, l[CAST(greatest(1, ceil(pct / 100 * n - 1e-9)) AS BIGINT)] AS value FROM (
+  SELECT upper(trim(tool_id)) AS tool_id, parameter_name, count(*) AS n, list(value ORDER BY value) AS l FROM process_steps
+  WHERE tool_id IS NOT NULL AND parameter_name IS NOT NULL AND value IS NOT NULL AND NOT isnan(value) GROUP BY ALL),
+  (SELECT CAST(p AS DOUBLE) AS pct FROM (VALUES {_PCT}) v(p))""",
+    "p7_documents": """
+SELECT doc_id, CAST(ceil(length(text) / 4096.0) AS BIGINT) AS pieces, CAST(length(text) AS HUGEINT) AS n_chars, least(length(text), 4096) AS longest, TRUE AS within
+FROM documents WHERE length(text) > 0""",
+    "p8_copies": """
+WITH it AS (SELECT doc_id, source, length(text) AS size FROM documents WHERE length(text) > 0 AND source IS NOT NULL),
+own AS (SELECT source, target_share, max_repeats, sum(size) AS own FROM it JOIN source_weights USING (source) GROUP BY ALL),
+sh AS (SELECT *, target_share / sum(target_share) OVER () AS share FROM own),
+pl AS (SELECT *, least(min(own * max_repeats / share) OVER () * share / own, max_repeats) AS c FROM sh)
+SELECT source, doc_id, size AS n_chars, rank, round(c, 6) AS expected, TRUE AS kept
+FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id) AS rank FROM it) JOIN pl USING (source)""",
     "p4_found": """
 WITH once AS (SELECT * EXCLUDE finding_id, min(finding_id) AS finding_id FROM mock_findings GROUP BY ALL),
 scored AS (

@@ -1,7 +1,8 @@
 """The N best items of every group by secondary sort, without buffering a group.
 
-Rows are hash-partitioned by (group, salt), sorted within partitions by group, score and id, and streamed
-in Arrow batches that pass on the first N of each group. The salt is made from a row's content, so a group
+Each task first sorts and streams the rows it reads and passes on its own first N of each group, so that at most N rows
+per group and task are shuffled. These are hash-partitioned by (group, salt), sorted within partitions by group, score and id, and
+streamed in Arrow batches that pass on the first N of each group. The salt is made from a row's content, so a group
 with a third of all rows is shared out among `salts` partitions, while the copies of a row stay together. A
 second, small round does the same over at most N * salts rows per group.
 
@@ -58,7 +59,8 @@ def top_n(df: DataFrame, group: dict[str, Column], id_col: str, score: Column, n
         known = known & F.col(k).isNotNull()
     rows = rows.filter(known)
     order = [*group, F.col("score").desc(), "id"]
-    salted = rows.repartition(*group, F.pmod("content", F.lit(salts))).sortWithinPartitions(*order)
+    own = rows.sortWithinPartitions(*order).mapInPandas(_take(list(group), n), rows.schema)
+    salted = own.repartition(*group, F.pmod("content", F.lit(salts))).sortWithinPartitions(*order)
     some = salted.mapInPandas(_take(list(group), n), rows.schema)
     best = some.repartition(*group).sortWithinPartitions(*order).mapInPandas(_take(list(group), n), rows.schema)
     return best.drop("content", "content2")
