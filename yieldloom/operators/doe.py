@@ -19,9 +19,9 @@ def sample_size(effect: Column, least: float = 0.3) -> Column:
     return F.least(F.greatest(F.ceil(16 / (e * e)), F.lit(4)), F.lit(25)).cast("int")
 
 
-def factor_levels(steps: DataFrame) -> DataFrame:
-    """Per tool and parameter: nominal, low and high level, and when the parameter was first seen."""
-    t = steps.filter("value is not null").groupBy("tool_id", "parameter").agg(
+def factor_levels(steps: DataFrame, by: tuple[str, ...] = ("tool_id", "parameter")) -> DataFrame:
+    """Per tool and parameter (or another grain): nominal, low and high level, and when the parameter was first seen."""
+    t = steps.filter("value is not null").groupBy(*by).agg(
         F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"),
         F.min_by("spec_min", F.when(F.col("spec_min").isNotNull(), F.struct("ts", "id"))).alias("lo"),
         F.min_by("spec_max", F.when(F.col("spec_max").isNotNull(), F.struct("ts", "id"))).alias("hi"), F.min(F.struct("ts", "id")).alias("seen"),
@@ -30,7 +30,19 @@ def factor_levels(steps: DataFrame) -> DataFrame:
     nominal = F.when(limits, (F.col("lo") + F.col("hi")) / 2).otherwise(F.col("mean"))
     size = F.when(limits, (F.col("hi") - F.col("lo")) * 0.10).when(F.col("sd") > 1e-6, 2 * F.col("sd")).otherwise(F.when(F.col("mean") == 0, 1.0).otherwise(F.abs("mean") * 0.10))
     low, high = F.when(limits, F.greatest(nominal - size, F.col("lo"))).otherwise(nominal - size), F.when(limits, F.least(nominal + size, F.col("hi"))).otherwise(nominal + size)
-    return t.select("tool_id", "parameter", "seen", nominal.alias("nominal"), F.least(low, nominal).alias("low"), F.greatest(high, nominal).alias("high"))
+    return t.select(*by, "seen", nominal.alias("nominal"), F.least(low, nominal).alias("low"), F.greatest(high, nominal).alias("high"))
+
+
+def level_cascade(wanted: DataFrame, steps: DataFrame) -> DataFrame:
+    """wanted: step, tool_id, parameter. Each with its levels from the history of the step, tool and parameter, or, without any, from
+    that of the tool and parameter, or of the parameter alone; null levels if the parameter has no history. from: which of the three."""
+    out, at = wanted, []
+    for i, by in enumerate((("step", "tool_id", "parameter"), ("tool_id", "parameter"), ("parameter",))):
+        names = {c: f"{c}_{i}" for c in ("nominal", "low", "high")}
+        out = out.join(factor_levels(steps, by).drop("seen").withColumnsRenamed(names), list(by), "left")
+        at.append(F.when(F.col(f"nominal_{i}").isNotNull(), F.lit(["step", "tool", "parameter"][i])))
+    levels = [F.coalesce(*[F.col(f"{c}_{i}") for i in range(3)]).alias(c) for c in ("nominal", "low", "high")]
+    return out.select("step", "tool_id", "parameter", *levels, F.coalesce(*at).alias("from"))
 
 
 def factors(causes: DataFrame, levels: DataFrame, most: int = 3) -> DataFrame:

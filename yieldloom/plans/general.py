@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from yieldloom.functions.columns import between, canonical
 from yieldloom.operators import eager, rolling, spikes
+from yieldloom.session import materialize
 from yieldloom.sources.tables import table
 
 
@@ -17,7 +18,7 @@ def _states(spark: SparkSession, d: str) -> DataFrame:
     """Joined compact states of process_steps by (lot, tool) and defects by lot, both sides kept whole."""
     steps = eager.compact(table(spark, d, "process_steps"), {"lot_id": canonical("lot_id"), "tool_id": canonical("tool_id")}, {"value": F.col("value")})
     defects = eager.compact(table(spark, d, "defects"), {"lot_id": canonical("lot_id")}, {"radius": _radius()})
-    return eager.join_states(steps, defects, ["lot_id"], "full")
+    return materialize(eager.join_states(steps, defects, ["lot_id"], "full"), "states")  # read twice below
 
 
 def p1_key_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +32,7 @@ def p1_key_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return eager.heavy_keys(p1_key_rows(spark, d), "field", "key_value", "rows", 0.04).select("field", "key_value")
+    return eager.heavy_keys(materialize(p1_key_rows(spark, d), "key_rows"), "field", "key_value", "rows", 0.04).select("field", "key_value")
 
 
 def p1_tool_defects(spark: SparkSession, d: str) -> DataFrame:
@@ -67,6 +68,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("entity").alias("fab_line"), F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
+def p5_corrected(spark: SparkSession, d: str) -> DataFrame:
+    """Late corrections: trees of the lots that started before the last week, in which the lots of that week change only ancestor nodes."""
+    y = F.col("final_yield_pct")
+    days = rolling.daily(table(spark, d, "wafer_lots"), canonical("fab_line"), F.col("start_time"), y, between(y, 0, 100))
+    last = F.broadcast(days.agg((F.max("day") - 7).alias("cut")))  # one row
+    marked = materialize(days.join(last).withColumn("late", F.col("day") > F.col("cut")).drop("cut"), "days")
+    trees = rolling.apply_corrections(rolling.build_trees(marked.filter("not late").drop("late")), marked.filter("late").drop("late"))
+    return trees.select("entity", "level", "node", "records", "values", F.round("total", 4).alias("total"))
+
+
 def p6_flags(spark: SparkSession, d: str) -> DataFrame:
     t = spikes.flag_readings(table(spark, d, "process_steps"), "id", canonical("tool_id"), F.col("parameter_name"), "timestamp", "value")
     return t.select("id", F.col("tool").alias("tool_id"), F.col("param").alias("parameter_name"), "kind")
@@ -78,7 +89,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_key_rows": p1_key_rows, "p1_tool_defects": p1_tool_defects,
-    "p5_found": p5_found, "p5_rolling": p5_rolling, "p6_found": p6_found, "p6_flags": p6_flags,
+    "p5_found": p5_found, "p5_rolling": p5_rolling, "p5_corrected": p5_corrected, "p6_found": p6_found, "p6_flags": p6_flags,
 }
 
 _KEY_ROWS = """
@@ -139,5 +150,10 @@ GROUP BY upper(trim(s.tool_id))""",
     "p5_rolling": _DAYS + """
 SELECT fab_line, strftime(day, '%Y-%m-%d') AS day, n7 AS lots_7, round(coalesce(s7, 0), 4) AS yield_sum_7, round(m7, 6) AS yield_mean_7,
        n30 AS lots_30, round(coalesce(s30, 0), 4) AS yield_sum_30, round(m30, 6) AS yield_mean_30 FROM r""",
+    "p5_corrected": """
+SELECT entity, CAST(level AS INTEGER) AS level, node, count(*) AS records, count(y) AS "values", round(coalesce(sum(y), 0), 4) AS total FROM (
+  SELECT upper(trim(fab_line)) AS entity, level, CAST(floor((CAST(start_time AS DATE) - DATE '1970-01-01') / pow(2, level)) AS INTEGER) AS node,
+         CASE WHEN NOT isnan(final_yield_pct) AND final_yield_pct BETWEEN 0 AND 100 THEN final_yield_pct END AS y
+  FROM wafer_lots, range(7) l(level) WHERE fab_line IS NOT NULL AND start_time IS NOT NULL) GROUP BY ALL""",
     "p5_found": _DAYS + "SELECT fab_line, strftime(day, '%Y-%m-%d') AS day FROM r WHERE m30 - m7 >= 3.0 - 1e-9",
 }

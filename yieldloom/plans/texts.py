@@ -27,6 +27,15 @@ def doe_factors(spark: SparkSession, d: str) -> DataFrame:
     return _factors(spark, d).select("lot_id", "tool_id", "factor", "parameter", *[F.round(c, 6).alias(c) for c in ("nominal", "low", "high")])
 
 
+def doe_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Levels for every parameter that a label names, at each of the steps and tools that labels name, from the nearest history."""
+    named = fab.labels(spark, d).select(F.lower(F.trim("injected_cause_step")).alias("step"), F.upper(F.trim("injected_cause_tool_id")).alias("tool_id"), F.col("injected_cause_parameter").alias("parameter"))
+    parameters = F.broadcast(named.select("parameter").distinct())  # names of parameters, some hundred at most
+    wanted = named.select("step", "tool_id").distinct().crossJoin(parameters)
+    t = doe.level_cascade(wanted, fab.steps(spark, d))
+    return t.select("step", "tool_id", "parameter", *[F.round(c, 6).alias(c) for c in ("nominal", "low", "high")], "from")
+
+
 def doe_runs(spark: SparkSession, d: str) -> DataFrame:
     return doe.runs(_factors(spark, d)).drop("run_order").withColumn("value", F.round("value", 6))
 
@@ -117,7 +126,7 @@ def evidence_marked(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        lot_excursions, doe_factors, doe_runs, doe_order, bm25_scores, tfidf_scores, hybrid_search, cause_search, search_grades, document_intents, evidence_claims, evidence_grounding, evidence_marked,
+        lot_excursions, doe_factors, doe_levels, doe_runs, doe_order, bm25_scores, tfidf_scores, hybrid_search, cause_search, search_grades, document_intents, evidence_claims, evidence_grounding, evidence_marked,
     )
 }
 
@@ -203,7 +212,21 @@ ck AS (
   FROM cl LEFT JOIN refs USING (lot_id) LEFT JOIN sc USING (lot_id) WHERE kind <> 'risk_score' OR value <= 1)
 """
 
+def _levels(by: str) -> str:
+    return f"""(
+  SELECT {by}, nominal, least(nominal, CASE WHEN lim THEN greatest(nominal - size, lo) ELSE nominal - size END) AS low, greatest(nominal, CASE WHEN lim THEN least(nominal + size, hi) ELSE nominal + size END) AS high FROM (
+    SELECT *, lo IS NOT NULL AND hi IS NOT NULL AS lim, CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN (lo + hi) / 2 ELSE mean END AS nominal,
+           CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN (hi - lo) * 1e-1 WHEN sd > 1e-6 THEN 2 * sd WHEN mean = 0 THEN 1.0 ELSE abs(mean) * 1e-1 END AS size FROM (
+      SELECT {by}, avg(value) AS mean, coalesce(stddev_samp(value), 0) AS sd, arg_min(spec_min, (ts, id)) FILTER (WHERE spec_min IS NOT NULL) AS lo,
+             arg_min(spec_max, (ts, id)) FILTER (WHERE spec_max IS NOT NULL) AS hi FROM steps WHERE value IS NOT NULL GROUP BY {by})))"""
+
+
 ORACLE = {
+    "doe_levels": S + f""", n AS (SELECT lower(trim(injected_cause_step)) AS step, upper(trim(injected_cause_tool_id)) AS tool_id, injected_cause_parameter AS parameter FROM cause_labels),
+w AS (SELECT * FROM (SELECT DISTINCT step, tool_id FROM n), (SELECT DISTINCT parameter FROM n))
+SELECT step, tool_id, parameter, round(coalesce(a.nominal, b.nominal, c.nominal), 6) AS nominal, round(coalesce(a.low, b.low, c.low), 6) AS low, round(coalesce(a.high, b.high, c.high), 6) AS high,
+       CASE WHEN a.nominal IS NOT NULL THEN 'step' WHEN b.nominal IS NOT NULL THEN 'tool' WHEN c.nominal IS NOT NULL THEN 'parameter' END AS "from"
+FROM w LEFT JOIN {_levels("step, tool_id, parameter")} a USING (step, tool_id, parameter) LEFT JOIN {_levels("tool_id, parameter")} b USING (tool_id, parameter) LEFT JOIN {_levels("parameter")} c USING (parameter)""",
     "lot_excursions": S + """,
 sc AS (
   SELECT lot_id, step, tool_id, parameter, id, abs(value - (spec_min + spec_max) / 2) / CASE WHEN spec_max > spec_min THEN (spec_max - spec_min) / 6 ELSE 1.0 END AS z0,

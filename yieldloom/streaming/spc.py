@@ -1,7 +1,6 @@
 """Control-chart rules on a stream of readings, with the last seven readings of each source as state.
 
-Deviations are taken from a static table of source statistics, as of operators.spc.key_stats. Within a trigger
-readings are ordered by time and id; a reading that comes after later ones of an earlier trigger is judged in the
+Deviations are taken from a static table of source statistics, as of operators.spc.key_stats. Readings are judged in the
 order of arrival. The state of a source is seven numbers, so its size depends on the number of sources only.
 """
 
@@ -32,15 +31,22 @@ def _rules(z: np.ndarray, first: int) -> dict[str, np.ndarray]:
 
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    before = list(state.get[0]) if state.exists else []
-    pdf = pd.concat(list(batches)).sort_values(["ts", "id"], kind="stable")
-    z = np.r_[np.array(before, float), pdf["z"].to_numpy()]
-    state.update((z[-7:].tolist(),))
-    yield pd.DataFrame({"step": key[0], "tool_id": key[1], "parameter": key[2], "id": pdf["id"].to_numpy(), "z": pdf["z"].to_numpy(), **_rules(z, len(before))})
+    """A source's readings of a trigger, batch by batch with seven deviations carried over, so that a hot source is never held as a whole."""
+    before = np.array(state.get[0] if state.exists else [], float)
+    for pdf in batches:
+        pdf = pdf.sort_values(["ts", "id"], kind="stable")
+        z = np.r_[before, pdf["z"].to_numpy()]
+        yield pd.DataFrame({"step": key[0], "tool_id": key[1], "parameter": key[2], "id": pdf["id"].to_numpy(), "z": pdf["z"].to_numpy(), **_rules(z, len(before))})
+        before = z[-7:]
+    state.update((before.tolist(),))
 
 
 def control_chart(stream: DataFrame, stats: DataFrame) -> DataFrame:
-    """stream: readings as of sources.fab.steps_of; stats: sources with mean and sd. Appends judged readings."""
+    """stream: readings as of sources.fab.steps_of; stats: sources with mean and sd. Appends judged readings.
+
+    The order is that of arrival, by Arrow batches (spark.sql.execution.arrow.maxRecordsPerBatch readings of a source), and that of time
+    within a batch. Late readings are judged when they come; the batch chart of operators.spc judges them in their place.
+    """
     t = stream.filter("value is not null").join(stats.select(*KEY, "mean", "sd"), KEY)
     t = t.select(*KEY, "id", "ts", ((F.col("value") - F.col("mean")) / F.when(F.col("sd") <= 1e-12, 1e-6).otherwise(F.col("sd"))).alias("z"))
     return t.groupBy(*KEY).applyInPandasWithState(_step, _OUT, "last array<double>", "append", GroupStateTimeout.NoTimeout)
