@@ -245,7 +245,7 @@ def pairs(encoded: DataFrame, v: int, least: float, c: SubjectConfig) -> np.ndar
     return np.array(sorted(r.pair for r in found), np.int64)
 
 
-def _parts(batch: pa.RecordBatch, known: np.ndarray, v: int, most: int = 60_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _parts(batch: pa.RecordBatch, known: np.ndarray, v: int, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Terms (known words and, from v on, known pairs), first term and row of each sentence that has any, of about so many words at a
     time, so that long texts don't fill the memory."""
     words, starts, sizes, row = _flat(batch)
