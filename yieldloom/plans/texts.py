@@ -150,11 +150,15 @@ fac AS (
 
 _TOK = r"list_filter(string_split_regex(regexp_replace(lower({0}), '[^a-z0-9\s_/]', ' ', 'g'), '\s+'), lambda x: length(x) > 1)"
 _STOP = ", ".join(f"'{w}'" for w in fx.STOP_WORDS)
-_KB = f"""
+
+
+def _kb(queries: str) -> str:
+    """Documents, queries (query_id, q and what else they have), scores bm and cs."""
+    return f"""
 WITH docs AS (
   SELECT doc_id AS id, text, CASE WHEN k = 'imp' THEN 'implant' ELSE k END AS step, {_TOK.format("text")} AS toks
   FROM (SELECT *, lower(split_part(trim(tool_id), '-', 1)) AS k FROM documents) WHERE text IS NOT NULL),
-qs AS (SELECT subject AS query_id, q, {_TOK.format("q")} AS toks FROM (SELECT subject, replace(subject, '_', ' ') || ' ' || description AS q FROM subject_areas)),
+qs AS (SELECT *, {_TOK.format("q")} AS toks FROM ({queries})),
 st AS (SELECT count(*) AS n, avg(len(toks)) AS mean_len FROM docs),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(toks) AS term FROM qs) GROUP BY ALL),
 dt AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(toks) AS len, unnest(toks) AS term FROM docs) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
@@ -171,7 +175,11 @@ wd AS (SELECT id, term, (1 + ln(tf)) * idf AS w FROM td JOIN idf USING (term)),
 wq AS (SELECT query_id, term, (1 + ln(tf)) * idf AS w FROM tq JOIN idf USING (term)),
 cs AS (
   SELECT query_id, id, dot / (qn * dn) AS cosine FROM (SELECT query_id, id, sum(a.w * b.w) AS dot FROM wd a JOIN wq b USING (term) GROUP BY ALL)
-  JOIN (SELECT query_id, sqrt(sum(w * w)) AS qn FROM wq GROUP BY query_id) USING (query_id) JOIN (SELECT id, sqrt(sum(w * w)) AS dn FROM wd GROUP BY id) USING (id)),
+  JOIN (SELECT query_id, sqrt(sum(w * w)) AS qn FROM wq GROUP BY query_id) USING (query_id) JOIN (SELECT id, sqrt(sum(w * w)) AS dn FROM wd GROUP BY id) USING (id))
+"""
+
+
+_KB = _kb("SELECT subject AS query_id, replace(subject, '_', ' ') || ' ' || description AS q FROM subject_areas") + """,
 sc AS (
   SELECT query_id, id, least(coalesce(bm25, 0) / 20, 1) AS part, coalesce(cosine, 0) AS cos,
          CASE WHEN coalesce(step, '') <> '' AND contains(lower(q), step) THEN 0.25 ELSE 0.0 END AS boost
@@ -246,6 +254,16 @@ SELECT lot_id, tool_id, CAST(run AS INTEGER) AS run, CASE WHEN run > corners THE
     "bm25_scores": _KB + "SELECT query_id, id, round(bm25, 6) AS bm25 FROM bm",
     "tfidf_scores": _KB + "SELECT query_id, id, round(cosine, 6) AS cosine FROM cs",
     "hybrid_search": _KB + "SELECT query_id, rank, id, round(score, 6) AS score, CASE WHEN boost > 0.3 THEN 'domain_boost' WHEN part > cos THEN 'bm25' ELSE 'tfidf' END AS method FROM hy",
+    "cause_search": _kb("""
+  SELECT concat_ws(' ', step, tool, parameter, signature) AS query_id, concat_ws(' ', step, tool, replace(parameter, '_', ' '), signature) AS q, step, upper(trim(tool)) AS tool FROM (
+    SELECT DISTINCT lower(trim(injected_cause_step)) AS step, injected_cause_tool_id AS tool, injected_cause_parameter AS parameter, injected_signature AS signature FROM cause_labels)""") + """,
+sc AS (
+  SELECT query_id, docs.id, least(coalesce(bm25, 0) / 20, 1) AS part, coalesce(cosine, 0) AS cos, least(25e-2 + 15e-2 + CASE WHEN contains(upper(text), tool) THEN 2e-1 ELSE 0 END, 1) AS boost
+  FROM docs JOIN qs ON docs.step = qs.step LEFT JOIN bm USING (query_id, id) LEFT JOIN cs USING (query_id, id)),
+hy AS (
+  SELECT *, 6e-1 * part + 4e-1 * cos + 3e-1 * boost AS score,
+         CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(6e-1 * part + 4e-1 * cos + 3e-1 * boost, 9) DESC, id) AS INTEGER) AS rank FROM sc QUALIFY rank <= 3)
+SELECT query_id, rank, id, round(score, 6) AS score, CASE WHEN boost > 0.3 THEN 'domain_boost' WHEN part > cos THEN 'bm25' ELSE 'tfidf' END AS method FROM hy""",
     "search_grades": _KB + """,
 g AS (
   SELECT hy.query_id, hy.id, score, coalesce(len(list_intersect(list_distinct(qs.toks), docs.toks)) / nullif(len(list_distinct(qs.toks)), 0), 0) AS overlap FROM hy JOIN docs USING (id) JOIN qs USING (query_id)),
