@@ -68,6 +68,15 @@ def test_a_source_whose_scatter_changes_is_judged_alike_however_it_is_cut(spark)
     assert flags(spark, data, 1, chunk=300) == whole == flags(spark, data, 3, chunk=300)
 
 
+def test_more_sources_than_are_broadcast(spark, monkeypatch):
+    y = series(900, 5)
+    y[70:800:90] += 6
+    data = table(y) + table(y[:100], "T2", 5_000)
+    want = flags(spark, data, 1)
+    monkeypatch.setattr(spikes, "BROADCAST_SOURCES", 0)
+    assert len(want) == 10 and flags(spark, data, 3) == want
+
+
 def test_measures_add_up_over_any_cut(spark):
     c = spikes.SpikeConfig()
     y = np.r_[series(500, 3), [5.0] * 9, series(200, 4)].clip(None, 1e100)
