@@ -16,6 +16,11 @@ def number(name: str | Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def rounded(name: str | Column, places: int) -> Column:
+    """Rounded, ties up: what lies within 1e-9 below a tie counts as one, so that the order of summing doesn't decide."""
+    return F.round((F.col(name) if isinstance(name, str) else name) + 1e-9, places)
+
+
 def content_hash(columns: list[str]) -> Column:
     """64-bit hash of several columns. xxhash64 skips nulls, so where they stand is hashed too."""
     nulls = F.concat(*[F.when(F.col(c).isNull(), F.lit("1")).otherwise(F.lit("0")) for c in columns])

@@ -61,7 +61,7 @@ def runs(fs: DataFrame, seed: int = 42) -> DataFrame:
     bit = F.pmod(F.floor((F.col("run") - 1) / F.pow(F.lit(2), F.col("factor"))), F.lit(2))
     coded = F.when(F.col("run") > F.col("corners"), 0).when(bit == 1, 1).otherwise(-1)
     value = F.when(coded == 0, F.col("nominal")).when(coded == 1, F.col("high")).otherwise(F.col("low"))
-    order = F.dense_rank().over(W.partitionBy("lot_id").orderBy(F.xxhash64("lot_id", "run", F.lit(seed)), "run"))
+    order = F.dense_rank().over(W.partitionBy("lot_id").orderBy(F.md5(F.concat_ws("|", "lot_id", "run", F.lit(seed))), "run"))
     return t.select(
         "lot_id", "tool_id", "run", order.alias("run_order"), F.when(F.col("run") > F.col("corners"), "center").otherwise("corner").alias("type"),
         "factor", "parameter", coded.alias("coded"), value.alias("value"), sample_size(F.col("deviation_score")).alias("wafers"),

@@ -195,7 +195,7 @@ def with_stubs(docs: DataFrame, stubs: DataFrame) -> DataFrame:
 def merge(results: DataFrame, group: str, top: int = 5) -> DataFrame:
     """Results of several sub-queries of one question: each document once with its best score, the top ones."""
     best = results.groupBy(group, "id").agg(F.max("score").alias("score"))
-    w = W.partitionBy(group).orderBy(F.desc("score"), "id")
+    w = W.partitionBy(group).orderBy(F.desc(F.round("score", 9)), "id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 

@@ -71,6 +71,13 @@ def root_cause_evidence(spark: SparkSession, d: str) -> DataFrame:
     return rootcause.findings(ranked(spark, d), batch_risk(spark, d))
 
 
+def contract_causes(spark: SparkSession, d: str) -> DataFrame:
+    """The contracts as flat rows, one a cause: its evidence in words, how many lots at risk the contract lists and has, and the first of them."""
+    t = rootcause.findings(ranked(spark, d), batch_risk(spark, d)).withColumn("listed", F.size("at_risk_upcoming_batches"))
+    t = t.select("lot_id", "listed", "at_risk_total", F.get("at_risk_upcoming_batches", F.lit(0)).getField("lot_id").alias("first_at_risk"), F.explode("candidate_causes").alias("c"))
+    return t.select("lot_id", *[F.col(f"c.{c}").alias(c) for c in ("rank", "tool_id", "parameter", "evidence")], "listed", "at_risk_total", "first_at_risk")
+
+
 def batch_risk(spark: SparkSession, d: str) -> DataFrame:
     sign = spatial.signatures(fab.defects(spark, d)).select("lot_id", "signature")
     return batchrisk.at_risk(fab.lots(spark, d), fingerprints(spark, d), sign).orderBy(F.desc("risk_score"), "lot_id")
@@ -125,7 +132,7 @@ def signature_patterns(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        spc_capability, spc_violations, spc_summary, lot_signatures, wafer_signatures, parameter_baselines, root_causes, root_cause_evidence, batch_risk, tool_commonality,
+        spc_capability, spc_violations, spc_summary, lot_signatures, wafer_signatures, parameter_baselines, root_causes, root_cause_evidence, contract_causes, batch_risk, tool_commonality,
         lot_commonality, yield_recovery, total_recovery, ranker_accuracy, ranker_calibration, signature_patterns,
     )
 }
@@ -308,3 +315,14 @@ SELECT signature, lots, mean_yield, low_yield, cause, n AS cause_lots FROM (
     "ranker_calibration": _HITS + """
 SELECT CAST(least(floor(score * 5), 4) AS INTEGER) AS bin, count(*) AS lots, round(avg(score), 6) AS predicted, round(avg(CASE WHEN true_rank = 1 THEN 1.0 ELSE 0.0 END), 6) AS observed FROM hits GROUP BY ALL""",
 }
+
+ORACLE["contract_causes"] = _RANKED + f""",
+risks AS ({ORACLE["batch_risk"]}),
+said AS (
+  SELECT c2.lot_id, step, tool_id, parameter, printf('%s at %s deviates by %+.1f sigma', parameter, tool_id, z) AS a, printf('abnormal on %d of %d low-yield lots', abn_a, affected) AS b,
+         CASE WHEN cpk IS NOT NULL THEN printf('Cpk %.2f', cpk) END AS c,
+         CASE WHEN any_rule THEN 'control rules broken: ' || concat_ws(', ', CASE WHEN rule1 > 0 THEN '1' END, CASE WHEN rule2 > 0 THEN '2' END, CASE WHEN rule3 > 0 THEN '3' END, CASE WHEN rule4 > 0 THEN '4' END) END AS d
+  FROM c2 JOIN viol USING (step, tool_id, parameter))
+SELECT lot_id, rank, tool_id, parameter, concat_ws(' | ', a, b, c, d, CASE WHEN spatial_signature <> 'random' THEN 'defect pattern: ' || spatial_signature END) AS evidence,
+       CAST(least(100, n) AS INTEGER) AS listed, n AS at_risk_total, l AS first_at_risk
+FROM ranked JOIN said USING (lot_id, step, tool_id, parameter), (SELECT count(*) AS n, arg_min(lot_id, (-risk_score, lot_id)) AS l FROM risks)"""

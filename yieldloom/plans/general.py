@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from yieldloom.functions.columns import between, canonical
+from yieldloom.functions.columns import between, canonical, rounded
 from yieldloom.operators import eager, rolling, spikes
 from yieldloom.session import materialize
 from yieldloom.sources.tables import table
@@ -58,7 +58,7 @@ def p5_rolling(spark: SparkSession, d: str) -> DataFrame:
     return t.select(
         F.col("entity").alias("fab_line"), F.date_format("day", "yyyy-MM-dd").alias("day"),
         *[x for p in (7, 30) for x in (
-            F.col(f"records_{p}").alias(f"lots_{p}"), F.round(f"total_{p}", 4).alias(f"yield_sum_{p}"), F.round(f"mean_{p}", 6).alias(f"yield_mean_{p}"))],
+            F.col(f"records_{p}").alias(f"lots_{p}"), F.round(f"total_{p}", 4).alias(f"yield_sum_{p}"), rounded(f"mean_{p}", 6).alias(f"yield_mean_{p}"))],
     )
 
 
@@ -148,8 +148,8 @@ GROUP BY upper(trim(s.tool_id))""",
     "p6_found": _FLAGS + "SELECT id FROM f",
     "p6_flags": _FLAGS + "SELECT * FROM f",
     "p5_rolling": _DAYS + """
-SELECT fab_line, strftime(day, '%Y-%m-%d') AS day, n7 AS lots_7, round(coalesce(s7, 0), 4) AS yield_sum_7, round(m7, 6) AS yield_mean_7,
-       n30 AS lots_30, round(coalesce(s30, 0), 4) AS yield_sum_30, round(m30, 6) AS yield_mean_30 FROM r""",
+SELECT fab_line, strftime(day, '%Y-%m-%d') AS day, n7 AS lots_7, round(coalesce(s7, 0), 4) AS yield_sum_7, round(m7 + 1e-9, 6) AS yield_mean_7,
+       n30 AS lots_30, round(coalesce(s30, 0), 4) AS yield_sum_30, round(m30 + 1e-9, 6) AS yield_mean_30 FROM r""",
     "p5_corrected": """
 SELECT entity, CAST(level AS INTEGER) AS level, node, count(*) AS records, count(y) AS "values", round(coalesce(sum(y), 0), 4) AS total FROM (
   SELECT upper(trim(fab_line)) AS entity, level, CAST(floor((CAST(start_time AS DATE) - DATE '1970-01-01') / pow(2, level)) AS INTEGER) AS node,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from yieldloom.functions.columns import between, canonical
+from yieldloom.functions.columns import between, canonical, rounded
 from yieldloom.operators import lots as ops, quality
 from yieldloom.sources import fab
 from yieldloom.sources.tables import table
@@ -17,13 +17,13 @@ def lot_overview(spark: SparkSession, d: str) -> DataFrame:
 
 def lot_kpis(spark: SparkSession, d: str) -> DataFrame:
     t = ops.kpis(fab.lots(spark, d), ["fab_line"])
-    return t.withColumn("mean_yield", F.round("mean_yield", 4))
+    return t.withColumn("mean_yield", rounded("mean_yield", 4))
 
 
 def fleet_kpis(spark: SparkSession, d: str) -> DataFrame:
     t = ops.kpis(fab.lots(spark, d))
     risky = table(spark, d, "mock_findings").agg(F.count_if((between("probability", 0.7, 1)) | between("risk_score", 0.7, 1)).alias("high_risk_findings"))
-    return t.join(F.broadcast(risky)).withColumn("mean_yield", F.round("mean_yield", 4))  # one row each
+    return t.join(F.broadcast(risky)).withColumn("mean_yield", rounded("mean_yield", 4))  # one row each
 
 
 def lots_of_line(spark: SparkSession, d: str) -> DataFrame:
@@ -138,7 +138,7 @@ QUERIES = {
 }
 
 S = fab.SQL
-_KPI = """count(*) AS lots, round(coalesce(avg(yield_pct), 95.0), 4) AS mean_yield, count(*) FILTER (WHERE status = 'at_risk') AS at_risk,
+_KPI = """count(*) AS lots, round(coalesce(avg(yield_pct), 95.0) + 1e-9, 4) AS mean_yield, count(*) FILTER (WHERE status = 'at_risk') AS at_risk,
        count(*) FILTER (WHERE yield_pct < 90) AS excursions, arg_min(lot_id, (yield_pct, lot_id)) FILTER (WHERE yield_pct IS NOT NULL) AS worst_lot"""
 _NUM = "({0} IS NOT NULL AND NOT isnan({0}))"
 

@@ -41,7 +41,7 @@ def doe_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def doe_order(spark: SparkSession, d: str) -> DataFrame:
-    """The shuffled order of execution; made from a hash that SQL has not, so rows only."""
+    """The shuffled order of execution, that of a hash of lot, run and seed."""
     return doe.runs(_factors(spark, d)).select("lot_id", "run", "run_order", "type").distinct()
 
 
@@ -90,6 +90,21 @@ def search_grades(spark: SparkSession, d: str) -> DataFrame:
     return t.select("query_id", "id", F.round("overlap", 6).alias("overlap"), "grade", "query_grade")
 
 
+def merged_search(spark: SparkSession, d: str) -> DataFrame:
+    """Name and description of a subject as two queries; each document once with its better score, the five best a subject."""
+    kinds = F.array(F.struct(F.lit("name").alias("kind"), F.replace("subject", F.lit("_"), F.lit(" ")).alias("text")), F.struct(F.lit("description").alias("kind"), F.col("description").alias("text")))
+    q = table(spark, d, "subject_areas").select("subject", F.inline(kinds)).select("subject", F.concat_ws(": ", "subject", "kind").alias("query_id"), "text")
+    t = retrieval.hybrid(_docs(spark, d), q.select("query_id", "text"), index=_index(spark, d)).join(q.select("query_id", "subject"), "query_id")
+    return retrieval.merge(t, "subject").withColumn("score", F.round("score", 6))
+
+
+def reranked_search(spark: SparkSession, d: str) -> DataFrame:
+    """The results of hybrid_search again by score with more for the step, the three best a query."""
+    q = _questions(spark, d)
+    t = retrieval.rerank(retrieval.hybrid(_docs(spark, d), q, index=_index(spark, d)), q)
+    return t.select("query_id", "rank", "id", "score")
+
+
 def document_intents(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").select("source", F.coalesce(fx.first_rule(F.col("text"), fx.INTENTS, "general"), F.lit("general")).alias("intent"))
     return t.groupBy("source", "intent").agg(F.count(F.lit(1)).alias("documents"))
@@ -120,13 +135,13 @@ def evidence_grounding(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_marked(spark: SparkSession, d: str) -> DataFrame:
-    """Findings with their ungrounded claims marked in the text; rows only."""
+    """Findings with their ungrounded claims marked in the text."""
     return verify.mark(_evidence(spark, d), _checked(spark, d))
 
 
 QUERIES = {
     f.__name__: f for f in (
-        lot_excursions, doe_factors, doe_levels, doe_runs, doe_order, bm25_scores, tfidf_scores, hybrid_search, cause_search, search_grades, document_intents, evidence_claims, evidence_grounding, evidence_marked,
+        lot_excursions, doe_factors, doe_levels, doe_runs, doe_order, bm25_scores, tfidf_scores, hybrid_search, cause_search, merged_search, reranked_search, search_grades, document_intents, evidence_claims, evidence_grounding, evidence_marked,
     )
 }
 
@@ -190,6 +205,17 @@ hy AS (
 """
 
 
+#: As the end of _KB, over all pairs of a query and a document, those without a common word too.
+_ALL = """,
+sc AS (
+  SELECT query_id, docs.id, least(coalesce(bm25, 0) / 20, 1) AS part, coalesce(cosine, 0) AS cos, CASE WHEN coalesce(step, '') <> '' AND contains(lower(q), step) THEN 25e-2 ELSE 0.0 END AS boost
+  FROM docs CROSS JOIN qs LEFT JOIN bm USING (query_id, id) LEFT JOIN cs USING (query_id, id)),
+hy AS (
+  SELECT *, 6e-1 * part + 4e-1 * cos + 3e-1 * boost AS score,
+         CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(6e-1 * part + 4e-1 * cos + 3e-1 * boost, 9) DESC, id) AS INTEGER) AS rank FROM sc QUALIFY rank <= 5 AND score > 0)
+"""
+
+
 def _when_rules() -> str:
     clean = "trim(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'))"
     cases = [f"WHEN {' OR '.join(f'''contains(c, '{p}')''' for p in phrases)} THEN '{name}'" for name, phrases in fx.INTENTS]
@@ -251,6 +277,10 @@ co AS (SELECT *, CASE WHEN run > corners THEN 0 WHEN ((run - 1) // CAST(pow(2, f
 SELECT lot_id, tool_id, CAST(run AS INTEGER) AS run, CASE WHEN run > corners THEN 'center' ELSE 'corner' END AS type, factor, parameter, coded,
        round(CASE coded WHEN 0 THEN nominal WHEN 1 THEN high ELSE low END, 6) AS value,
        CAST(least(greatest(ceil(16 / (greatest(deviation_score, 0.3) * greatest(deviation_score, 0.3))), 4), 25) AS INTEGER) AS wafers FROM co""",
+    "doe_order": _FACTORS + """,
+ru AS (SELECT lot_id, corners, unnest(range(1, corners + 4)) AS run FROM (SELECT lot_id, CAST(pow(2, count(*)) AS INTEGER) AS corners FROM fac GROUP BY lot_id))
+SELECT lot_id, CAST(run AS INTEGER) AS run, CAST(row_number() OVER (PARTITION BY lot_id ORDER BY md5(concat_ws('|', lot_id, run, 42)), run) AS INTEGER) AS run_order,
+       CASE WHEN run > corners THEN 'center' ELSE 'corner' END AS type FROM ru""",
     "bm25_scores": _KB + "SELECT query_id, id, round(bm25, 6) AS bm25 FROM bm",
     "tfidf_scores": _KB + "SELECT query_id, id, round(cosine, 6) AS cosine FROM cs",
     "hybrid_search": _KB + "SELECT query_id, rank, id, round(score, 6) AS score, CASE WHEN boost > 0.3 THEN 'domain_boost' WHEN part > cos THEN 'bm25' ELSE 'tfidf' END AS method FROM hy",
@@ -264,6 +294,13 @@ hy AS (
   SELECT *, 6e-1 * part + 4e-1 * cos + 3e-1 * boost AS score,
          CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(6e-1 * part + 4e-1 * cos + 3e-1 * boost, 9) DESC, id) AS INTEGER) AS rank FROM sc QUALIFY rank <= 3)
 SELECT query_id, rank, id, round(score, 6) AS score, CASE WHEN boost > 0.3 THEN 'domain_boost' WHEN part > cos THEN 'bm25' ELSE 'tfidf' END AS method FROM hy""",
+    "merged_search": _kb("""
+  SELECT subject || ': name' AS query_id, replace(subject, '_', ' ') AS q FROM subject_areas UNION ALL SELECT subject || ': description', description FROM subject_areas""") + _ALL + """
+SELECT subject, id, round(best, 6) AS score, CAST(row_number() OVER (PARTITION BY subject ORDER BY round(best, 9) DESC, id) AS INTEGER) AS rank
+FROM (SELECT split_part(query_id, ': ', 1) AS subject, id, max(score) AS best FROM hy GROUP BY ALL) QUALIFY rank <= 5""",
+    "reranked_search": _kb("SELECT subject AS query_id, replace(subject, '_', ' ') || ' ' || description AS q FROM subject_areas") + _ALL + """,
+more AS (SELECT query_id, id, round(score + CASE WHEN boost > 0 THEN 3e-1 ELSE 0.0 END, 4) AS score FROM hy)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM more QUALIFY rank <= 3""",
     "search_grades": _KB + """,
 g AS (
   SELECT hy.query_id, hy.id, score, coalesce(len(list_intersect(list_distinct(qs.toks), docs.toks)) / nullif(len(list_distinct(qs.toks)), 0), 0) AS overlap FROM hy JOIN docs USING (id) JOIN qs USING (query_id)),
@@ -271,6 +308,10 @@ n AS (SELECT *, CASE WHEN score >= 0.4 AND overlap >= 0.2 THEN 2 WHEN score >= 0
 SELECT query_id, id, round(overlap, 6) AS overlap, ['irrelevant', 'partial', 'relevant'][k + 1] AS grade, ['irrelevant', 'partial', 'relevant'][max(k) OVER (PARTITION BY query_id) + 1] AS query_grade FROM n""",
     "document_intents": _when_rules(),
     "evidence_claims": _CLAIMS + "SELECT * FROM ck",
+    "evidence_marked": _CLAIMS + r"""
+SELECT finding_id AS id, lot_id, evidence AS text, CASE WHEN w IS NULL THEN evidence ELSE list_reduce(list_prepend(evidence, w), lambda t, x:
+         regexp_replace(t, '(?i)(^|[^\p{L}\p{N}_.])(' || regexp_escape(x) || ')($|[^\p{L}\p{N}_])', '\1[UNVERIFIED: \2]\3')) END AS marked
+FROM mock_findings f LEFT JOIN (SELECT id, list_sort(list(DISTINCT word)) AS w FROM ck WHERE NOT grounded GROUP BY id) b ON b.id = f.finding_id""",
     "evidence_grounding": _CLAIMS + """
 SELECT f.finding_id AS id, coalesce(n, 0) AS claims, coalesce(g, 0) AS grounded, round(CASE WHEN coalesce(n, 0) = 0 THEN 1.0 ELSE g / n END, 6) AS rate, coalesce(n, 0) = coalesce(g, 0) AS passed
 FROM mock_findings f LEFT JOIN (SELECT id, count(*) AS n, count(*) FILTER (WHERE grounded) AS g FROM ck GROUP BY id) c ON c.id = f.finding_id""",

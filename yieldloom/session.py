@@ -56,12 +56,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     computing df again. They stay until clean() is called.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = own_folder(spark, name)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A path of this process in the shared folder, for tables that are written in several steps; clean() removes it."""
+    _written.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def kept(spark: SparkSession, name: str, source: tuple, make: Callable[[], DataFrame]) -> DataFrame:
     """A table that several results need, written by the first of them and read by the others.
 
