@@ -319,7 +319,7 @@ SELECT CAST(least(floor(score * 5), 4) AS INTEGER) AS bin, count(*) AS lots, rou
 ORACLE["contract_causes"] = _RANKED + f""",
 risks AS ({ORACLE["batch_risk"]}),
 said AS (
-  SELECT c2.lot_id, step, tool_id, parameter, printf('%s at %s deviates by %+.1f sigma', parameter, tool_id, z) AS a, printf('abnormal on %d of %d low-yield lots', abn_a, affected) AS b,
+  SELECT c2.lot_id, step, tool_id, parameter, printf('%s at %s deviates by %+.1f sigma', parameter, tool_id, round(z, 1) + 0e0) AS a, printf('abnormal on %d of %d low-yield lots', abn_a, affected) AS b,
          CASE WHEN cpk IS NOT NULL THEN printf('Cpk %.2f', cpk) END AS c,
          CASE WHEN any_rule THEN 'control rules broken: ' || concat_ws(', ', CASE WHEN rule1 > 0 THEN '1' END, CASE WHEN rule2 > 0 THEN '2' END, CASE WHEN rule3 > 0 THEN '3' END, CASE WHEN rule4 > 0 THEN '4' END) END AS d
   FROM c2 JOIN viol USING (step, tool_id, parameter))

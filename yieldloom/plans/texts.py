@@ -310,7 +310,7 @@ SELECT query_id, id, round(overlap, 6) AS overlap, ['irrelevant', 'partial', 're
     "evidence_claims": _CLAIMS + "SELECT * FROM ck",
     "evidence_marked": _CLAIMS + r"""
 SELECT finding_id AS id, lot_id, evidence AS text, CASE WHEN w IS NULL THEN evidence ELSE list_reduce(list_prepend(evidence, w), lambda t, x:
-         regexp_replace(t, '(?i)(^|[^\p{L}\p{N}_.])(' || regexp_escape(x) || ')($|[^\p{L}\p{N}_])', '\1[UNVERIFIED: \2]\3')) END AS marked
+         regexp_replace(t, '(?i)(^|[^\w.σ])(' || regexp_escape(x) || ')($|[^\wσ])', '\1[UNVERIFIED: \2]\3')) END AS marked
 FROM mock_findings f LEFT JOIN (SELECT id, list_sort(list(DISTINCT word)) AS w FROM ck WHERE NOT grounded GROUP BY id) b ON b.id = f.finding_id""",
     "evidence_grounding": _CLAIMS + """
 SELECT f.finding_id AS id, coalesce(n, 0) AS claims, coalesce(g, 0) AS grounded, round(CASE WHEN coalesce(n, 0) = 0 THEN 1.0 ELSE g / n END, 6) AS rate, coalesce(n, 0) = coalesce(g, 0) AS passed
