@@ -1,6 +1,7 @@
 from tests.conftest import DATA
 from yieldloom.operators import rootcause
 from yieldloom.plans import analytics
+from yieldloom.session import clean
 
 
 def test_contract_has_lots_at_risk(spark):
@@ -20,3 +21,10 @@ def test_registered_contract_has_lots_at_risk(spark):
     assert want and got
     for r in got:
         assert [(-b.risk_score, b.lot_id) for b in r.at_risk_upcoming_batches] == want[:100] and r.at_risk_total == len(want)
+
+
+def test_signatures_are_made_once_for_the_ranking_and_the_lots_at_risk(spark, monkeypatch):
+    made, real = [], analytics.spatial.signatures
+    monkeypatch.setattr(analytics.spatial, "signatures", lambda *a: made.append(1) or real(*a))
+    clean(spark)
+    assert analytics.contract_causes(spark, DATA).count() and len(made) == 1

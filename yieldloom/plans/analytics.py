@@ -51,9 +51,14 @@ def fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return kept(spark, "fingerprints", state_of(spark, d, "process_steps", "wafer_lots"), lambda: batchrisk.fingerprints(fab.steps(spark, d), baselines(spark, d)))
 
 
+def signatures(spark: SparkSession, d: str) -> DataFrame:
+    """The signatures of all lots, written once for the ranking and the lots at risk."""
+    return kept(spark, "signatures", state_of(spark, d, "defects"), lambda: spatial.signatures(fab.defects(spark, d)).select("lot_id", "signature"))
+
+
 def ranked(spark: SparkSession, d: str) -> DataFrame:
     """The ranking of all lots, written once for all that need it."""
-    make = lambda: rootcause.rank_causes(fab.lots(spark, d), fab.steps(spark, d), fab.defects(spark, d), base=baselines(spark, d))
+    make = lambda: rootcause.rank_causes(fab.lots(spark, d), fab.steps(spark, d), fab.defects(spark, d), base=baselines(spark, d), sign=signatures(spark, d))
     return kept(spark, "ranking", state_of(spark, d, "process_steps", "wafer_lots", "defects"), make)
 
 
@@ -79,8 +84,7 @@ def contract_causes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def batch_risk(spark: SparkSession, d: str) -> DataFrame:
-    sign = spatial.signatures(fab.defects(spark, d)).select("lot_id", "signature")
-    return batchrisk.at_risk(fab.lots(spark, d), fingerprints(spark, d), sign).orderBy(F.desc("risk_score"), "lot_id")
+    return batchrisk.at_risk(fab.lots(spark, d), fingerprints(spark, d), signatures(spark, d)).orderBy(F.desc("risk_score"), "lot_id")
 
 
 def _used(spark: SparkSession, d: str) -> DataFrame:
