@@ -13,18 +13,22 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from yieldloom.operators import lots as ops
 from yieldloom.operators.lots import KEY
 from yieldloom.session import materialize
 
 
-def fingerprints(steps: DataFrame, base: DataFrame) -> DataFrame:
-    """lot_id, source, z: the last reading of each source in standard deviations from its baseline. base: best a written table."""
-    last = ops.latest(steps.filter("value is not null"))
-    t = last.join(ops.small(base.select(*KEY, "base_mean", "base_sd")), KEY)
-    return t.select("lot_id", F.concat_ws("|", *KEY).alias("source"), ((F.col("value") - F.col("base_mean")) / F.col("base_sd")).alias("z"))
+def fingerprints(last: DataFrame, base: DataFrame) -> DataFrame:
+    """lot_id, source, z: the last reading of each source in standard deviations from its baseline.
+
+    last: of rootcause.lot_sources(), or readings of which the last are taken. base: best a written table.
+    """
+    if "last_value" not in last.columns:
+        last = ops.latest(last.filter("value is not null")).withColumn("last_value", F.col("value"))
+    t = last.filter("last_value is not null").join(ops.small(base.select(*KEY, "base_mean", "base_sd")), KEY)
+    return t.select("lot_id", F.concat_ws("|", *KEY).alias("source"), ((F.col("last_value") - F.col("base_mean")) / F.col("base_sd")).alias("z"))
 
 
 def _flat(t: pa.Table, sources: str, zs: str) -> tuple[pa.ChunkedArray, np.ndarray, np.ndarray]:
@@ -97,7 +101,11 @@ def best_matches(
 
     Lots without a match of at least that similarity may be left out. Blocks are smaller than `block` while there are fewer than four for each core.
     """
-    pack = lambda t: t.groupBy("lot_id").agg(F.collect_list("source").alias("sources"), F.collect_list("z").alias("zs"))
+    # Blocks hold the sources as numbers, which take a quarter of the memory. Only sources of running lots count.
+    running = materialize(running.select("lot_id", "source", "z"), "running_readings")
+    numbers = running.select("source").distinct().select("source", F.row_number().over(W.orderBy("source")).alias("number"))
+    numbers = ops.small(materialize(numbers, "source_numbers"))
+    pack = lambda t: t.join(numbers, "source").groupBy("lot_id").agg(F.collect_list("number").alias("sources"), F.collect_list("z").alias("zs"))
     a = materialize(pack(running), "running")
     b = materialize(pack(history).select(F.col("lot_id").alias("old_lot"), F.col("sources").alias("old_sources"), F.col("zs").alias("old_zs")), "history")
     lots = [t.count() for t in (a, b)]

@@ -46,9 +46,14 @@ def baselines(spark: SparkSession, d: str) -> DataFrame:
     return kept(spark, "baselines", state_of(spark, d, "process_steps", "wafer_lots"), lambda: rootcause.baselines(fab.steps(spark, d), fab.lots(spark, d)))
 
 
+def lot_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The states and last readings of all lots and sources, written once for the ranking and the fingerprints."""
+    return kept(spark, "lot_sources", state_of(spark, d, "process_steps", "wafer_lots"), lambda: rootcause.lot_sources(fab.steps(spark, d), baselines(spark, d)))
+
+
 def fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    """The last deviations of all lots, written once for all that need them."""
-    return kept(spark, "fingerprints", state_of(spark, d, "process_steps", "wafer_lots"), lambda: batchrisk.fingerprints(fab.steps(spark, d), baselines(spark, d)))
+    """The last deviations of all lots, from a written table."""
+    return batchrisk.fingerprints(lot_sources(spark, d), baselines(spark, d))
 
 
 def signatures(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +63,7 @@ def signatures(spark: SparkSession, d: str) -> DataFrame:
 
 def ranked(spark: SparkSession, d: str) -> DataFrame:
     """The ranking of all lots, written once for all that need it."""
-    make = lambda: rootcause.rank_causes(fab.lots(spark, d), fab.steps(spark, d), fab.defects(spark, d), base=baselines(spark, d), sign=signatures(spark, d))
+    make = lambda: rootcause.rank_causes(fab.lots(spark, d), fab.steps(spark, d), fab.defects(spark, d), base=baselines(spark, d), sign=signatures(spark, d), of_lot=lot_sources(spark, d))
     return kept(spark, "ranking", state_of(spark, d, "process_steps", "wafer_lots", "defects"), make)
 
 
